@@ -1,0 +1 @@
+"""A PySpark-native engine for grounded document reading and retrieval at table scale."""

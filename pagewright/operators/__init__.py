@@ -1,0 +1 @@
+"""Operators over elements, units and runs."""

@@ -1,0 +1 @@
+"""Tables to elements."""
