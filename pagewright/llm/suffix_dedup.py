@@ -396,10 +396,12 @@ def repeated_runs(docs: DataFrame, text_col: str = "text") -> DataFrame:
     keyed = _keyed(docs.select(text_col), text_col)
     found, anchor_path = materialize(_find_anchors(keyed), "anchors")
     with shuffles_cleaned(spark):
-        again = found.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a")
+        # written first, so that the join reads two plain shuffles, whose hot keys can be split
+        again, again_path = materialize(found.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a"), "again")
         wanted = found.join(again, "a").groupBy("k1", "k2").agg(F.collect_set("pos").alias("pos"))
         positions, position_path = materialize(wanted, "positions")
         remove(spark, anchor_path)
+        remove(spark, again_path)
         joined = keyed.join(positions, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")))
         segments, segment_path = materialize(_segments(joined), "segments")
         remove(spark, position_path)
