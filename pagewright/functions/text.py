@@ -24,7 +24,7 @@ def _tables() -> tuple[str, str, dict[str, str]]:
     """Characters that become one character, those then dropped (no counterpart), and expansions."""
     one, gone, more = [], [], {}
     for code in range(0x110000):
-        if 0xD800 <= code <= 0xDFFF or 0x3000 <= code < 0xFE00 or (code >= 0x20000 and code < 0xE0000):
+        if 0xD800 <= code <= 0xDFFF or 0x3400 <= code < 0xF900 or (code >= 0x20000 and code < 0xE0000):
             continue
         c = chr(code)
         to = plain(c)
