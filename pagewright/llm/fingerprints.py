@@ -88,6 +88,7 @@ def parse_level(symbols: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.nd
     cut = first.copy()
     if n > 2:
         cut[1:-1] |= (label[1:-1] < label[:-2]) & (label[1:-1] <= label[2:])
+    cut &= first | ~np.append(first[1:], True)  # a last symbol has no right neighbour to be compared with
     # a phrase has two symbols at least, but for a text of one
     cut[1:] &= ~(cut[:-1] & ~first[1:]) | first[1:]
     heads = np.flatnonzero(cut)

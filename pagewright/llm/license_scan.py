@@ -31,7 +31,7 @@ _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
 #: Substrings without one of which no rule and no phrase can match (checked by a test).
-GATE = ("licen", "copyright", "copyleft", "public domain", "spdx", "cc0", "creativecommons", "creative commons", "all rights reserved", "as is", "redistribut", "unlicense", "wtfpl", "eula", "cc")
+GATE = ("licen", "copyright", "copyleft", "public domain", "spdx", "cc0", "creativecommons", "creative commons", "all rights reserved", "as is", "redistribut", "gpl", "bsd", "neither the name", "permission", "released", "cc")
 
 _W = r"[\s\-_,.:;/()\"'*#]+"  # between words of a signature
 _V = r"(?:v|ver|version)?\.?\s*"
