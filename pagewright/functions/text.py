@@ -47,8 +47,14 @@ def normalize(text: Column) -> Column:
     table = F.create_map(*[F.lit(x) for pair in more.items() for x in pair])
     wide = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
     has_wide = text.rlike("[" + "".join(f"\\x{{{ord(c):X}}}" for c in more) + "]")
+    # Latin-1 letters, the common case, take plain byte replacements
+    latin = F.lower(text)
+    for c in map(chr, [0xDF, *range(0xE0, 0xF7), *range(0xF8, 0x100)]):
+        if plain(c) != c:
+            latin = F.replace(latin, F.lit(c), F.lit(plain(c)))
+    simple = ~text.rlike(r"[^\x00-\x7F\xC0-\xD6\xD8-\xF6\xF8-\xFF]")
     ascii_only = ~text.rlike(r"[^\x00-\x7F]")
-    return F.when(ascii_only, F.lower(text)).otherwise(F.translate(F.when(has_wide, wide).otherwise(text), source, target))
+    return F.when(ascii_only, F.lower(text)).when(simple, latin).otherwise(F.translate(F.when(has_wide, wide).otherwise(text), source, target))
 
 
 def fold(token: Column) -> Column:
@@ -63,7 +69,8 @@ def fold(token: Column) -> Column:
         .when(token.endswith("s") | (token.endswith("x") & (F.length(token) > 4)), cut(1))
         .otherwise(token)
     )
-    return F.when(short, token).otherwise(F.regexp_replace(stem, "ail$", "al"))
+    inflected = token.endswith("s") | token.endswith("x") | token.endswith("l")
+    return F.when(~inflected | short, token).otherwise(F.regexp_replace(stem, "ail$", "al"))
 
 
 def tokenize(text: Column) -> Column:

@@ -19,7 +19,7 @@ def test_tokens(spark):
     assert one(spark, None, T.tokenize) == []
 
 
-@pytest.mark.parametrize("raw", ["Éçà ß", "ﬁne ²", "Ａ１", "İstanbul", "ŒUVRE", "ΑΣ Σ", "plain", "½ℌ", ""])
+@pytest.mark.parametrize("raw", ["Éçà ß", "ﬁne ²", "Ａ１", "İstanbul", "ŒUVRE", "ΑΣ Σ", "plain", "½ℌ", "ÀÉÎÕÜÝ àéîõüýÿ æøðþ ÆØ ß", ""])
 def test_normalize(spark, raw):
     assert one(spark, raw, T.normalize) == "".join(map(T.plain, raw))
 
