@@ -77,7 +77,7 @@ def _forward_backward(e: np.ndarray, pairs: np.ndarray, live: np.ndarray | None
     """
     rows, n = e.shape
     a = np.exp(pairs)
-    forward, backward = np.empty_like(e), np.zeros_like(e)
+    forward, backward = np.zeros_like(e), np.zeros_like(e)
     live = np.full(n, rows) if live is None else live
     forward[:, 0] = e[:, 0]
     for t in range(1, n):
