@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clip, collapse, flatten, grounded, html_escape, human_size, opening, tokenize
 from ..operators import bm25, geometry, outline, pack, rank, report, segment
-from ..sources import tables
+from ..sources import docjson, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -257,6 +257,64 @@ def html_elements(s, d):
     return tables.from_html(_t(s, d, "pages")).select("doc_id", "ord", "label", "text")
 
 
+# --- serialized trees ---
+
+
+def _ref(path) -> "F.Column":
+    return F.struct(path.alias("$ref"))
+
+
+def _ordered_list(item) -> "F.Column":
+    return F.transform(F.array_sort(F.collect_list(F.struct("turn", item.alias("x")))), lambda s: s["x"])
+
+
+def _turn_trees(s, d):
+    """A conversation as a JSON tree: user turns are headings that hold the turns after them; pages of four turns."""
+    from pyspark.sql import Window
+
+    c = _t(s, d, "conversations").withColumn("user", F.col("role") == "user")
+    upto = Window.partitionBy("conv_id").orderBy("turn")
+    c = c.withColumn("head", F.max(F.when(F.col("user"), F.col("turn"))).over(upto))
+    path = F.concat(F.lit("#/texts/"), F.col("turn").cast("string"))
+    box = F.struct(F.lit(0.0).alias("l"), (100.0 - F.col("turn")).alias("t"), F.lit(10.0).alias("r"), (90.0 - F.col("turn")).alias("b"), F.lit("BOTTOMLEFT").alias("coord_origin"))
+    prov = F.array(F.struct((F.floor(F.col("turn") / 4) + 1).alias("page_no"), box.alias("bbox")))
+    below = F.transform(F.array_sort(F.collect_list(F.when(~F.col("user"), F.col("turn"))).over(Window.partitionBy("conv_id", "head"))), lambda t: _ref(F.concat(F.lit("#/texts/"), t.cast("string"))))
+    item = F.struct(
+        path.alias("self_ref"), F.when(F.col("user"), "section_header").otherwise("text").alias("label"), F.col("text"), F.when(F.col("user"), 1 + F.col("turn") % 2).alias("level"),
+        F.when(F.col("user"), F.col("below")).alias("children"), prov.alias("prov"), F.when(F.col("role") == "system", "furniture").alias("content_layer"),
+    )
+    top = F.when(F.col("user") | F.col("head").isNull(), _ref(path))
+    rows = c.withColumn("below", below).groupBy("conv_id").agg(_ordered_list(item).alias("texts"), F.filter(_ordered_list(top), lambda x: x.isNotNull()).alias("roots"))
+    pages = F.expr("map('1', named_struct('size', named_struct('height', 100.0D)))")
+    tree = F.struct(F.lit("talk").alias("name"), F.struct(F.col("roots").alias("children")).alias("body"), "texts", pages.alias("pages"))
+    return rows.select(F.col("conv_id").alias("doc_id"), F.to_json(tree).alias("document_json"))
+
+
+@query(r"""SELECT conv_id AS doc_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS ord, '#/texts/' || turn AS ref, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS text,
+CASE WHEN role = 'user' THEN 'SectionHeader' ELSE 'Paragraph' END AS graph_label, CAST(CASE WHEN role = 'user' THEN 1 + turn % 2 END AS INT) AS level, role IS NOT DISTINCT FROM 'system' AS is_furniture,
+CAST(turn // 4 + 1 AS INT) AS page_no, CASE WHEN turn < 4 THEN CAST(turn AS DOUBLE) END AS top FROM conversations""")
+def json_elements(s, d):
+    """Elements of JSON trees in reading order; boxes only on the page whose height is known."""
+    found = docjson.elements(docjson.project(_turn_trees(s, d)))
+    return found.select("doc_id", "ord", "ref", "text", "graph_label", "level", "is_furniture", "page_no", F.col("bbox.t").alias("top"))
+
+
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_returnflag) AS k, l_suppkey, l_returnflag FROM lineitem)
+SELECT l_orderkey AS doc_id, '<table><tr><th colspan="2">supplier &amp; flag</th></tr>' || string_agg('<tr><td>' || l_suppkey || '</td><td>' || CASE WHEN l_returnflag = 'R' THEN '' ELSE l_returnflag END || '</td></tr>', '' ORDER BY k) || '</table>' AS html FROM c GROUP BY l_orderkey""")
+def json_tables(s, d):
+    """An order's lines as a JSON table, rendered: a head over both columns, holes for returned lines."""
+    from pyspark.sql import Window
+
+    li = _t(s, d, "lineitem").withColumn("k", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_returnflag")))
+    cell = lambda text, y, x, wide, head: F.struct(text.alias("text"), y.alias("start_row_offset_idx"), (y + 1).alias("end_row_offset_idx"), F.lit(x).alias("start_col_offset_idx"), F.lit(x + wide).alias("end_col_offset_idx"), F.lit(head).alias("column_header"))
+    lines = F.array(cell(F.col("l_suppkey").cast("string"), F.col("k"), 0, 1, False), F.when(F.col("l_returnflag") != "R", cell(F.col("l_returnflag"), F.col("k"), 1, 1, False)))
+    rows = li.groupBy("l_orderkey").agg(F.filter(F.flatten(F.collect_list(lines)), lambda x: x.isNotNull()).alias("cells"))
+    cells = F.concat(F.array(cell(F.lit("supplier & flag"), F.lit(0), 0, 2, True)), "cells")
+    item = F.struct(F.lit("#/tables/0").alias("self_ref"), F.lit("table").alias("label"), F.struct(cells.alias("table_cells")).alias("data"))
+    trees = rows.select(F.col("l_orderkey").alias("doc_id"), F.to_json(F.struct(F.array(item).alias("tables"))).alias("document_json"))
+    return docjson.elements(docjson.project(trees)).select("doc_id", F.col("text").alias("html"))
+
+
 # --- ranking ---
 
 _FUSED = f"""{_UN}, {_ASK}, {_VIEWS}, {_bm25('vw', 'doc_id, view, ', 'ask')},
