@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import grounded
 
-#: Prefixes that a status puts before an answer.
-PREFIXES = {"not_in_document": "[not in document]", "insufficient_evidence": "[insufficient evidence]", "budget_exhausted": "[budget exhausted]"}
+#: What a status puts before an answer.
+PREFIXES = {
+    "not_in_document": "[not answered — this document does not cover the question]",
+    "insufficient_evidence": "[partial answer — the document did not fully answer this]",
+    "budget_exhausted": "[partial answer — the run hit its budget before converging]",
+}
 NOTE_LIMIT, MAX_NOTES, ABSENT_VOTES = 600, 8, 2
 
 
@@ -41,7 +45,16 @@ def rollup(steps: DataFrame, max_steps: int = 6) -> DataFrame:
 
 
 def flat_answers(traces: DataFrame) -> DataFrame:
-    """The answer with its status as a prefix; an answered run has none, an empty answer is the bare prefix."""
+    """The answer below its status; an answered run has none, an empty answer leaves the status alone."""
     table = F.create_map(*[F.lit(x) for pair in PREFIXES.items() for x in pair])
-    prefix = F.coalesce(F.element_at(table, F.col("status")), F.lit(""))
-    return traces.withColumn("answer", F.trim(F.concat_ws(" ", prefix, F.coalesce("answer", F.lit("")))))
+    said = F.coalesce("answer", F.lit(""))
+    return traces.withColumn("answer", F.concat_ws("\n\n", F.element_at(table, F.col("status")), F.when((said != "") | ~F.col("status").isin(*PREFIXES), said)))
+
+
+def plain_results(traces: DataFrame, annotate: bool = True) -> DataFrame:
+    """(run_id, answer, iterations, converged) of reading runs, for consumers of the flat shape."""
+    flat = flat_answers(traces) if annotate else traces
+    six = lambda s: F.struct(
+        s["index"].alias("iteration"), s["ref"].alias("section_ref"), s["reason"].alias("reason"), s["excerpt_chars"].alias("section_text_length"), s["sufficient"].alias("can_answer"), s["response"].alias("response"),
+    )
+    return flat.select("run_id", "answer", F.transform("steps", six).alias("iterations"), "converged")

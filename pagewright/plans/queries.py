@@ -436,7 +436,9 @@ def status_rollup(s, d):
     return report.rollup(_steps(s, d)).drop("notes")
 
 
-@query(f"WITH {_STEPS} SELECT run_id, status, trim(CASE status WHEN 'answered' THEN '' ELSE '[' || replace(status, '_', ' ') || '] ' END || answer) AS answer FROM tr")
+@query(f"""WITH {_STEPS}, p AS (SELECT *, CASE status WHEN 'not_in_document' THEN '[not answered — this document does not cover the question]'
+WHEN 'insufficient_evidence' THEN '[partial answer — the document did not fully answer this]' WHEN 'budget_exhausted' THEN '[partial answer — the run hit its budget before converging]' END AS prefix FROM tr)
+SELECT run_id, status, CASE WHEN prefix IS NULL THEN answer WHEN answer = '' THEN prefix ELSE prefix || chr(10) || chr(10) || answer END AS answer FROM p""")
 def flat_view(s, d):
     return report.flat_answers(report.rollup(_steps(s, d))).select("run_id", "status", "answer")
 

@@ -76,6 +76,26 @@ def test_packs(spark):
     assert pack.by_relevance(el, none, ["doc_id"], 150).first().refs == ["#/texts/0", "#/texts/1"]
 
 
+def test_excerpts_say_where_their_parts_are(spark):
+    el = elements(spark, [(1, 0, "section_header", 1, "Terms"), (1, 1, "text", None, "x" * 90), (1, 3, "text", None, "penalty of ten"), (1, 4, "text", None, "y" * 90)])
+    units = segment.build_units(el)
+    wanted = spark.createDataFrame([(1, "#/texts/0", "penalty"), (1, "#/texts/0", "penalty"), (1, "#/texts/0", None), (1, "nowhere", "penalty"), (2, "#/texts/0", "")], "doc_id int, ref string, focus string")
+    places = [pack.pages_of(F.col("parts")).alias("pages"), pack.node_ids(F.col("parts")).alias("nodes"), pack.spans(F.col("parts")).alias("spans")]
+    rows = {(r.doc_id, r.ref, r.focus): r for r in pack.excerpts(units, el, wanted, 120).select("*", *places).collect()}
+    assert len(rows) == 4
+    hit = rows[1, "#/texts/0", "penalty"]
+    assert [p.ref for p in hit.parts] == ["#/texts/0", "#/texts/1", "#/texts/3"] and hit.pages == [1, 2] and hit.nodes == ["elem::#/texts/0", "elem::#/texts/1", "elem::#/texts/3"]
+    assert [(s.ref, s.page_no, s.char_start, s.bbox) for s in hit.spans][2] == ("#/texts/3", 2, None, None) and hit.kind == "section" and hit.truncated
+    assert rows[1, "#/texts/0", ""].parts[-1].ref == "#/texts/3" and rows[1, "#/texts/0", ""].truncated
+    for gone in ((1, "nowhere", "penalty"), (2, "#/texts/0", "")):
+        assert (rows[gone].text, rows[gone].parts, rows[gone].kind, rows[gone].truncated) == ("", [], "section", False)
+    many = elements(spark, [(1, i, "text", None, "w") for i in range(250)])
+    whole = pack.full_excerpts(many, 10_000).select("*", *places).first()
+    assert (whole.ref, whole.kind, len(whole.parts), len(whole.spans), len(whole.nodes)) == ("#/texts/0", "document", 250, 200, 250)
+    cut = pack.full_excerpts(elements(spark, [(1, 0, "text", None, "a" * 300), (1, 1, "text", None, "b" * 300)]), 550).first()
+    assert [len(p.text) for p in cut.parts] == [300, 250] and cut.truncated
+
+
 def test_outline_drops_levels_then_the_middle(spark):
     rows = []
     for i in range(30):
@@ -92,9 +112,9 @@ def test_outline_drops_levels_then_the_middle(spark):
 def test_records(spark):
     steps = spark.createDataFrame([(1, 1, False, True, "no", 3), (1, 2, False, True, "none", 2), (2, 1, True, False, "yes", 0), (3, 1, False, False, "", 0)], "run_id int, step_no int, sufficient boolean, absent boolean, response string, unread int")
     rows = {r.run_id: r for r in report.flat_answers(report.rollup(steps)).collect()}
-    assert rows[1].status == "not_in_document" and rows[1].answer == "[not in document] none" and rows[1].notes == ["no", "none"]
+    assert rows[1].status == "not_in_document" and rows[1].answer == report.PREFIXES["not_in_document"] + "\n\nnone" and rows[1].notes == ["no", "none"]
     assert rows[2].answer == "yes" and rows[2].notes == [] and rows[2].converged
-    assert rows[3].answer == "[insufficient evidence]"
+    assert rows[3].answer == report.PREFIXES["insufficient_evidence"]
     got = report.verdicts(spark.createDataFrame([(True, "a b", "a  B"), (False, "a", "a"), (True, "a", None)], "sufficient boolean, excerpt string, quote string")).collect()
     assert [r.grounded for r in got] == [True, None, False]
 
