@@ -25,7 +25,10 @@ from ..sources.chat import message
 from . import bm25, outline, pack, rank, segment
 
 NOTE = "struct<ref:string,title:string,finding:string>"
-STEP = "struct<k:int,ref:string,title:string,reason:string,fallback:boolean,sufficient:boolean,absent:boolean,response:string,quote:string,grounded:boolean,error:string>"
+SPAN = "struct<ref:string,node_id:string,page_no:int,char_start:int,char_end:int,bbox:struct<l:double,t:double,r:double,b:double>>"
+STEP = f"struct<k:int,ref:string,title:string,reason:string,fallback:boolean,kind:string,excerpt_chars:int,pages:array<int>,spans:array<{SPAN}>,node_ids:array<string>,sufficient:boolean,absent:boolean,response:string,quote:string,grounded:boolean,error:string>"
+#: Fixed value: why a short document is read.
+READ_WHOLE = "Document is short enough to read in full"
 MAX_TERMS, HEDGE, SLICE = 10, 2, 64
 NOTHING_READABLE, NOTHING_FOUND = "The document contains no readable content.", "No relevant content was found in this document."
 SYSTEM = "You answer questions from one document. Use only the text you are given, invent nothing, and say so if the answer is not there."
@@ -120,7 +123,7 @@ def _start(runs: DataFrame, units: DataFrame, limits: Limits) -> DataFrame:
     status = F.when(F.col("n_units").isNull(), "not_in_document")
     zero = F.lit(0)
     return got.select(
-        "run_id", "source_id", "query", route.alias("route"), status.cast("string").alias("status"), F.when(status.isNotNull(), NOTHING_READABLE).otherwise("").alias("answer"), F.lit(None).cast("string").alias("error"),
+        "run_id", "source_id", "name", "query", route.alias("route"), status.cast("string").alias("status"), F.when(status.isNotNull(), NOTHING_READABLE).otherwise("").alias("answer"), F.lit(None).cast("string").alias("error"),
         F.coalesce("n_units", zero).alias("n_units"), F.coalesce("titles", _none("array<string>")).alias("titles"), _none("array<string>").alias("visited"), _none(f"array<{NOTE}>").alias("notes"), _none(f"array<{STEP}>").alias("steps"),
         zero.alias("votes"), F.lit("").alias("expansion"), zero.alias("steps_used"), zero.alias("calls_used"),
     )
@@ -147,16 +150,22 @@ def _absorb(state: DataFrame, results: DataFrame, limits: Limits) -> DataFrame:
 
 
 def _read(picks: DataFrame, members: DataFrame, model, limits: Limits) -> DataFrame:
-    """(run_id, step) of picks (run_id, k, ref, title, reason, fallback, query, focus, notes)."""
+    """(run_id, step) of picks (run_id, k, ref, title, kind, reason, fallback, query, focus, notes)."""
     keys = ["doc_id", "unit"]
     wanted = picks.select(F.col("run_id").alias("doc_id"), F.col("ref").alias("unit"), F.col("focus").alias("query"))
-    excerpts = pack.by_relevance(members.join(wanted.select(*keys), keys, "left_semi"), wanted, keys, limits.excerpt_chars).select(F.col("doc_id").alias("run_id"), F.col("unit").alias("ref"), F.col("text").alias("excerpt"))
+    parts = F.col("parts")
+    excerpts = pack.by_relevance(members.join(wanted.select(*keys), keys, "left_semi"), wanted, keys, limits.excerpt_chars).select(
+        F.col("doc_id").alias("run_id"), F.col("unit").alias("ref"), F.col("text").alias("excerpt"), pack.pages_of(parts).alias("pages"), pack.spans(parts).alias("spans"), pack.node_ids(parts).alias("node_ids")
+    )
     full = settle(picks.join(excerpts, ["run_id", "ref"], "left"))
     prompts = full.select("run_id", "k", _reading_prompt(F.col("query"), F.col("title"), F.col("excerpt"), F.col("notes")).alias("prompt"), F.lit(None).cast("array<string>").alias("allowed"))
     said = ask(prompts, model, READING, limits.max_tokens).drop("fallback", "calls")
     x = full.join(said, ["run_id", "k"]).withColumn("x", F.from_json("reply", "sufficient boolean, response string, absent boolean, quote string"))
-    verdict = F.when(F.col("x.sufficient"), grounded(F.coalesce("excerpt", F.lit("")), F.coalesce("x.quote", F.lit(""))))
-    return x.select("run_id", F.struct(F.col("k").cast("int").alias("k"), "ref", "title", "reason", "fallback", "x.sufficient", "x.absent", "x.response", "x.quote", verdict.alias("grounded"), "error").alias("step"))
+    text = F.coalesce("excerpt", F.lit(""))
+    verdict = F.when(F.col("x.sufficient"), grounded(text, F.coalesce("x.quote", F.lit(""))))
+    places = [F.coalesce("pages", _none("array<int>")).alias("pages"), F.coalesce("spans", _none(f"array<{SPAN}>")).alias("spans"), F.coalesce("node_ids", _none("array<string>")).alias("node_ids")]
+    step = F.struct(F.col("k").cast("int").alias("k"), "ref", "title", "reason", "fallback", "kind", F.length(text).alias("excerpt_chars"), *places, "x.sufficient", "x.absent", "x.response", "x.quote", verdict.alias("grounded"), "error")
+    return x.select("run_id", step.alias("step"))
 
 
 def _shortlists(live: DataFrame, units: DataFrame, visited: DataFrame, limits: Limits) -> DataFrame:
@@ -245,15 +254,15 @@ def _round(live: DataFrame, units: DataFrame, members: DataFrame, model, limits:
         look = look.withColumn("picks", F.when(F.col("pick").isNotNull(), F.concat("lex", F.array("pick"))).otherwise(F.col("lex")))
     look = settle(look.withColumn("picks", F.slice("picks", F.lit(1), F.greatest(F.least(steps_left, calls_left), F.lit(0)))))
     picks = look.select("run_id", "query", F.col("query").alias("focus"), "notes", F.posexplode("picks").alias("k", "p")).select("run_id", "k", "query", "focus", "notes", "p.*")
-    picks = picks.join(units.select(F.col("doc_id").alias("run_id"), "ref", "title"), ["run_id", "ref"])
+    picks = picks.join(units.select(F.col("doc_id").alias("run_id"), "ref", "title", "kind"), ["run_id", "ref"])
     return _absorb(look.select(*columns), _read(picks, members, model, limits), limits)
 
 
 def _direct(state: DataFrame, members: DataFrame, model, limits: Limits) -> DataFrame:
     """Short documents are read at once."""
-    every = members.select("doc_id", F.lit("").alias("unit"), "ord", "ref", "text").dropDuplicates(["doc_id", "ref"])
+    every = members.select("doc_id", F.lit("").alias("unit"), "ord", "ref", "text", "at").dropDuplicates(["doc_id", "ref"])
     anchor = every.groupBy(F.col("doc_id").alias("run_id")).agg(F.min_by("ref", "ord").alias("anchor"))
-    picks = state.select("run_id", F.lit(0).alias("k"), F.lit("").alias("ref"), F.lit("the whole document").alias("title"), F.lit("short enough to read at once").alias("reason"), F.lit(False).alias("fallback"), "query", F.lit("").alias("focus"), "notes")
+    picks = state.select("run_id", F.lit(0).alias("k"), F.lit("").alias("ref"), F.col("name").alias("title"), F.lit("document").alias("kind"), F.lit(READ_WHOLE).alias("reason"), F.lit(False).alias("fallback"), "query", F.lit("").alias("focus"), "notes")
     steps = _read(picks, every, model, limits).join(anchor, "run_id", "left").select("run_id", F.col("step").withField("ref", F.coalesce("anchor", F.lit(""))).alias("step"))
     out = _absorb(state, steps, limits)
     step = F.get("steps", F.lit(0))
@@ -273,20 +282,29 @@ def _compose(state: DataFrame, model, late: bool) -> DataFrame:
     return out.withColumn("answer", answer).withColumn("calls_used", F.col("calls_used") + F.coalesce("_c", F.lit(0))).drop("reply", "_c", "can_call")
 
 
-def read(runs: DataFrame, elements: DataFrame, model, limits: Limits = Limits()) -> DataFrame:
-    """Traces of runs (run_id, doc_id, query): run_id, doc_id, query, status, answer, converged, steps, notes, calls, error.
+def _public(steps: Column) -> Column:
+    """Steps as they are reported, numbered from 1; no run reads a unit twice."""
+    same = ("ref", "reason", "excerpt_chars", "sufficient", "response", "kind", "title", "pages", "spans", "node_ids", "quote", "grounded")
+    return F.transform(steps, lambda s, i: F.struct((i + 1).alias("index"), *[s[c].alias(c) for c in same], F.lit(False).alias("revisited"), s["fallback"].alias("fallback")))
+
+
+def read(runs: DataFrame, elements: DataFrame, model, limits: Limits = Limits(), furniture: bool = False) -> DataFrame:
+    """Traces of runs (run_id, doc_id, query): run_id, doc_id, query, status, answer, converged, steps, notes, calls, elapsed_s, error.
 
-    run_id must be unique. Documents without readable elements end as not_in_document; a run
+    run_id must be unique; a column name of runs is the title of documents read whole (else Document).
+    elapsed_s is the time of the batch. With furniture, running heads and footers are read too. Documents without readable elements end as not_in_document; a run
     whose reads all fail in one round ends as failed with the first error. The deadline holds
     for the batch. Every round ranks the units of open runs anew.
     """
     began = time.monotonic()
-    base = runs.select("run_id", F.col("doc_id").alias("source_id"), F.coalesce("query", F.lit("")).alias("query"))
+    base = runs.select("run_id", F.col("doc_id").alias("source_id"), (F.coalesce("name", F.lit("Document")) if "name" in runs.columns else F.lit("Document")).alias("name"), F.coalesce("query", F.lit("")).alias("query"))
+    if furniture:
+        elements = elements.withColumn("is_furniture", F.lit(False))
     texts = elements.join(base.select(F.col("source_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     own = segment.prune_leads(segment.build_units(texts)).withColumnRenamed("doc_id", "source_id")
     units = settle(base.select("source_id", F.col("run_id").alias("doc_id")).join(own, "source_id"))
     places = units.select("source_id", "doc_id", F.col("ref").alias("unit"), F.explode("element_refs").alias("ref"))
-    members = settle(places.join(texts.select(F.col("doc_id").alias("source_id"), "ref", "ord", "text"), ["source_id", "ref"]).select("doc_id", "unit", "ord", "ref", "text"))
+    members = settle(places.join(pack.located(texts).select(F.col("doc_id").alias("source_id"), "ref", "ord", "text", "at"), ["source_id", "ref"]).select("doc_id", "unit", "ord", "ref", "text", "at"))
     state = settle(_start(base, units, limits))
     direct = state.filter("route = 'direct'")
     done = [state.filter("route = 'empty'"), direct if direct.isEmpty() else settle(_direct(direct, members, model, limits))]
@@ -306,4 +324,4 @@ def read(runs: DataFrame, elements: DataFrame, model, limits: Limits = Limits())
     out = _compose(settle(out.withColumn("can_call", F.col("calls_used") < limits.max_calls)), model, late)
     answered = F.col("status") == "answered"
     notes = F.when(answered, _none(f"array<{NOTE}>")).otherwise(F.col("notes"))
-    return out.select("run_id", F.col("source_id").alias("doc_id"), "query", "status", "answer", answered.alias("converged"), "steps", notes.alias("notes"), F.col("calls_used").alias("calls"), "error")
+    return out.select("run_id", F.col("source_id").alias("doc_id"), "query", "status", "answer", answered.alias("converged"), _public(F.col("steps")).alias("steps"), notes.alias("notes"), F.col("calls_used").alias("calls"), F.lit(round(time.monotonic() - began, 3)).alias("elapsed_s"), "error")

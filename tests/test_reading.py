@@ -66,6 +66,15 @@ def test_short_and_empty_documents(traces):
     assert (traces[4].status, traces[4].answer, traces[4].calls, traces[4].steps) == ("not_in_document", reading.NOTHING_READABLE, 0, [])
 
 
+def test_steps_say_what_was_read(traces):
+    s = traces[1].steps[0]
+    assert (s["index"], s.kind, s.title, s.pages, s.node_ids, s.revisited) == (1, "section", "Penalties", [1, 2], ["elem::#/texts/2", "elem::#/texts/3"], False)
+    assert s.excerpt_chars == len("\n\n".join(SECTIONS[1])) and [(p.ref, p.page_no) for p in s.spans] == [("#/texts/2", 1), ("#/texts/3", 2)]
+    assert [x["index"] for x in traces[6].steps] == [1, 2]
+    whole = traces[2].steps[0]
+    assert (whole.kind, whole.title, whole.reason, whole.excerpt_chars) == ("document", "Document", reading.READ_WHOLE, len("Short: the answer is 42"))
+
+
 def test_failures_stay_in_their_run(traces):
     for i in (5, 11):
         assert (traces[i].status, traces[i].answer) == ("failed", "") and "BackendError" in traces[i].error
