@@ -44,8 +44,9 @@ def normalize(text: Column) -> Column:
     """Case-folded text without accents; one-to-many cases take a slower path, only where they occur."""
     source, target, more = _tables()
     text = F.coalesce(text, F.lit(""))
-    table = F.create_map(*[F.lit(x) for pair in more.items() for x in pair])
-    wide = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
+    # one literal that the optimizer turns into a map: a map of thousands of literals is slow to plan
+    table = F.str_to_map(F.lit("\x01".join(f"{c}\x02{to}" for c, to in more.items())), F.lit("\x01"), F.lit("\x02"))
+    wide = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(table, c), F.translate(c, source, target))), "")
     has_wide = text.rlike("[" + "".join(f"\\x{{{ord(c):X}}}" for c in more) + "]")
     # Latin-1 letters, the common case, take plain byte replacements
     latin = F.lower(text)
@@ -54,7 +55,7 @@ def normalize(text: Column) -> Column:
             latin = F.replace(latin, F.lit(c), F.lit(plain(c)))
     simple = ~text.rlike(r"[^\x00-\x7F\xC0-\xD6\xD8-\xF6\xF8-\xFF]")
     ascii_only = ~text.rlike(r"[^\x00-\x7F]")
-    return F.when(ascii_only, F.lower(text)).when(simple, latin).otherwise(F.translate(F.when(has_wide, wide).otherwise(text), source, target))
+    return F.when(ascii_only, F.lower(text)).when(simple, latin).when(has_wide, wide).otherwise(F.translate(text, source, target))
 
 
 def fold(token: Column) -> Column:

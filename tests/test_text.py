@@ -40,3 +40,10 @@ def test_opening(spark):
 def test_grounded(spark):
     row = spark.createDataFrame([("The  Café closed.", "cafe closed"), ("a", " "), ("a", None)], "t string, q string").select(T.grounded(F.col("t"), F.col("q")).alias("g")).collect()
     assert [r.g for r in row] == [True, False, False]
+
+
+def test_characters_that_become_several(spark):
+    more = T._tables()[2]
+    rows = [(c, T.plain(c)) for c in more] + [("Aﬀaire ℃ Straße", "affaire °C strasse")]
+    got = spark.createDataFrame(rows, "c string, plain string").select("c", "plain", T.normalize(F.col("c")).alias("n")).collect()
+    assert [(r.c, r.n) for r in got if r.n != r.plain] == []
