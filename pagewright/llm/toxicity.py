@@ -8,7 +8,8 @@ sample; words with a marginal of one half or more are the offending spans.
 Only documents carry labels, so word labels are made first: in toxic documents of the
 sample, a word whose features are met in far more toxic than other documents is toxic
 (if none stands out, the word that stands out most). Documents are the unit of these
-counts, near copies counted once. The field is then fitted by gradient steps.
+counts, near copies counted once. The field is then fitted by gradient steps on every word of
+the sample, in pieces of 16 words, the last piece of a text as long as it is.
 
 The sample of labelled rows is bounded: at most ``SAMPLE`` rows of label 0 and of label 1, the
 smallest by a hash of the id, and ``SAMPLE_CHARS`` characters of each. Scoring covers
@@ -132,39 +133,43 @@ def fit(rows: list[tuple[str, bool]]) -> Field:
     if len(set(toxic)) < 2:
         return none
     known: dict[bytes, list[int]] = {}
-    tokens, tags = [], []
+    parts = []
     for words, own in zip(docs, weak_tags(docs, toxic), strict=True):
-        for lo in range(0, len(words) - PIECE + 1, PIECE) if len(words) >= PIECE else ():
-            part = own[lo : lo + PIECE]
-            if part.any() or not own.any() or (lo // PIECE) % 3 == 0:
-                tokens.append([known[w] if w in known else known.setdefault(w, buckets(w)) for w in words[lo : lo + PIECE]])
-                tags.append(part)
-    if not tags or not np.concatenate(tags).any():
+        for lo in range(0, len(words), PIECE):
+            parts.append(([known[w] if w in known else known.setdefault(w, buckets(w)) for w in words[lo : lo + PIECE]], own[lo : lo + PIECE]))
+    if not any(own.any() for _, own in parts):
         return none
-    x, y = np.array(tokens, np.int32), np.array(tags, np.float32)
-    del tokens, known, docs
-    s = len(x)
+    # the last piece of a text is padded; pieces in falling order of length
+    parts.sort(key=lambda p: -len(p[0]))
+    s = len(parts)
+    x, y, live = np.zeros((s, PIECE, FEATURES), np.int32), np.zeros((s, PIECE), np.float32), np.zeros((s, PIECE), bool)
+    for k, (tokens, own) in enumerate(parts):
+        x[k, : len(tokens)], y[k, : len(tokens)], live[k, : len(tokens)] = tokens, own, True
+    del parts, known, docs
+    going = live.sum(axis=0)
     flat = x.reshape(-1)
-    pair_seen = np.array([[((y[:, :-1] == a) & (y[:, 1:] == b)).sum() for b in (0, 1)] for a in (0, 1)], float)
+    pair_seen = np.array([[((y[:, :-1] == a) & (y[:, 1:] == b) & live[:, 1:]).sum() for b in (0, 1)] for a in (0, 1)], float)
     w, bias, pairs = np.zeros(BUCKETS), np.array([-3.0]), np.zeros((2, 2))
     speed = [np.full(BUCKETS, 1e-6), np.full(1, 1e-6), np.full((2, 2), 1e-6)]
     for _ in range(EPOCHS):
         e = (w[x].sum(axis=2) + bias).astype(np.float32)
         # expectations of tags and of tag pairs, by forward-backward
         a = np.exp(pairs)
-        alpha = np.empty((s, PIECE, 2), np.float32)
+        alpha = np.zeros((s, PIECE, 2), np.float32)
         beta = np.ones((s, PIECE, 2), np.float32)
-        scale = np.empty((s, PIECE, 1), np.float32)
-        pot = np.stack((np.ones_like(e), np.exp(np.clip(e, -50, 50))), axis=2)
+        scale = np.ones((s, PIECE, 1), np.float32)
+        pot = np.stack((np.ones_like(e), np.exp(np.clip(e, -50, 50))), axis=2) * live[:, :, None]
         for t in range(PIECE):
-            alpha[:, t] = pot[:, t] * (alpha[:, t - 1] @ a if t else 1.0)
-            scale[:, t] = alpha[:, t].sum(axis=1, keepdims=True)
-            alpha[:, t] /= scale[:, t]
+            k = going[t]
+            alpha[:k, t] = pot[:k, t] * (alpha[:k, t - 1] @ a if t else 1.0)
+            scale[:k, t] = alpha[:k, t].sum(axis=1, keepdims=True)
+            alpha[:k, t] /= scale[:k, t]
         for t in range(PIECE - 2, -1, -1):
-            beta[:, t] = ((pot[:, t + 1] * beta[:, t + 1]) @ a.T) / scale[:, t + 1]
+            k = going[t + 1]
+            beta[:k, t] = ((pot[:k, t + 1] * beta[:k, t + 1]) @ a.T) / scale[:k, t + 1]
         marginal = (alpha * beta)[:, :, 1]
         expected = np.einsum("sti,ij,stj,st->ij", alpha[:, :-1], a, pot[:, 1:] * beta[:, 1:], 1 / scale[:, 1:, 0])
-        pull = y - marginal
+        pull = (y - marginal) * live
         grads = [
             np.bincount(flat, np.repeat(pull.reshape(-1), FEATURES), BUCKETS) / s - PENALTY * w,
             np.array([pull.sum() / s]), (pair_seen - expected) / s,

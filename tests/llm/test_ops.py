@@ -332,3 +332,15 @@ def test_toxicity(spark):
     none = toxicity.score_documents(docs, table.filter("false"))
     assert {r.predicted for r in none.collect()} == {0}
     assert toxicity.score_documents(docs.filter("false"), table).count() == 0
+
+
+def test_toxicity_short_texts_and_last_words():
+    rng = random.Random(7)
+    plain = [f"calm{k}" for k in range(40)]
+    short = [(" ".join(rng.choices(plain, k=5) + ["vilewort"] * (k % 4 == 0)), k % 4 == 0) for k in range(120)]
+    # 20 words, the offending one last: beyond the only full piece
+    tails = [(" ".join(rng.choices(plain, k=19) + ["vilewort" if k % 4 == 0 else "end"]), k % 4 == 0) for k in range(120)]
+    for rows in (short, tails):
+        field = toxicity.fit(rows)
+        scores = [field.score(o) for o in toxicity.Tagger(field).log_odds([t for t, _ in rows])]
+        assert [p >= toxicity.CUTOFF for p in scores] == [y for _, y in rows]
