@@ -12,8 +12,9 @@ counts, near copies counted once. The field is then fitted by gradient steps on
 the sample, in pieces of 16 words, the last piece of a text as long as it is.
 
 The sample of labelled rows is bounded: at most ``SAMPLE`` rows of label 0 and of label 1, the
-smallest by a hash of the id, and ``SAMPLE_CHARS`` characters of each. Scoring covers
-whole texts of all rows.
+smallest by a hash of the id, whole texts. They are hashed on the executors; of a label whose
+hashed texts hold over ``SAMPLE_BYTES`` (about 15 MB of text), the rows beyond that are left out,
+never a part of one. Scoring covers whole texts of all rows.
 
 Defined cases: null and empty texts score 0; a null id is judged by its text like any
 other and is never sampled; labels of unknown ids and null labels teach nothing; repeated
@@ -22,8 +23,7 @@ labels count once a row of the sample; without rows of both labels every score i
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -33,9 +33,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_TABLE, byte_slices, crc_mod
+from .common import ALNUM_TABLE, byte_slices, crc_mod, materialize, remove
 
-SAMPLE, SAMPLE_CHARS = (2400, 1000), 6000
+SAMPLE, SAMPLE_BYTES, GROUP = (2400, 1000), 48 << 20, 1 << 15
 BUCKETS, FEATURES, PIECE, EPOCHS, RATE, PENALTY = 1 << 17, 4, 16, 30, 0.4, 2e-6
 CUTOFF, SPAN_CUTOFF = 0.3, 0.5
 
@@ -49,6 +49,16 @@ def feature_names(word: bytes) -> list[bytes]:
     return [b"w" + word, b"4" + chars[:4].encode(), b"5" + chars[:5].encode(), b"s" + chars[-3:].encode()]
 
 
+@dataclass
+class Hashed:
+    """A text as hashes: features of its distinct words, its words as places among them, and
+    the lowest hash of three words in a row, which near copies share."""
+
+    features: np.ndarray
+    words: np.ndarray
+    mark: int
+
+
 def buckets(word: bytes) -> list[int]:
     return [xxhash.xxh64_intdigest(f, 3) % BUCKETS for f in feature_names(word)]
 
@@ -92,97 +102,123 @@ def _forward_backward(e: np.ndarray, pairs: np.ndarray, live: np.ndarray | None
     return forward + backward
 
 
-def weak_tags(docs: list[list[bytes]], toxic: list[bool]) -> list[np.ndarray]:
-    """A tag for every word, from how features spread over toxic and other documents."""
-    seen, count, total = set(), (Counter(), Counter()), [0, 0]
-    for words, y in zip(docs, toxic, strict=True):
-        triples = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))]
-        mark = (min(triples), y)
-        if mark in seen:
+def hashed(text: str) -> Hashed:
+    words = words_of(text)
+    places: dict[bytes, int] = {}
+    order = np.fromiter((places.setdefault(w, len(places)) for w in words), np.int32, len(words))
+    features = np.array([[xxhash.xxh64_intdigest(f, 3) for f in feature_names(w)] for w in places], np.uint64).reshape(-1, FEATURES)
+    mark = min(xxhash.xxh64_intdigest(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2)))
+    return Hashed(features, order, mark)
+
+
+def weak_odds(docs: list[Hashed], toxic: list[bool], table: np.ndarray) -> np.ndarray:
+    """For every word of table, how much more its features are met in toxic than in other documents."""
+    seen, held, total = set(), ([], []), [0, 0]
+    for d, y in zip(docs, toxic, strict=True):
+        if (d.mark, y) in seen:
             continue
-        seen.add(mark)
+        seen.add((d.mark, y))
         total[y] += 1
-        count[y].update({f for w in set(words) for f in feature_names(w)[:3]})
+        held[y].append(np.unique(d.features[:, :3]))
     least = max(3, total[1] // 50)
 
-    def odds(word: bytes) -> float:
-        best = 0.0
-        for f in feature_names(word)[:3]:
-            if count[1][f] >= least:
-                best = max(best, (count[1][f] / max(total[1], 1)) / ((count[0][f] + 0.3) / max(total[0], 1)))
-        return best
-
-    known: dict[bytes, float] = {}
-    tags = []
-    for words, y in zip(docs, toxic, strict=True):
-        own = np.zeros(len(words), bool)
-        if y and words:
-            found = np.array([known[w] if w in known else known.setdefault(w, odds(w)) for w in words])
-            own = found >= 12
-            if not own.any() and found.max() > 6:
-                own = found == found.max()
-        tags.append(own)
-    return tags
+    def counts(y: int, features: np.ndarray) -> np.ndarray:
+        keys, n = np.unique(np.concatenate(held[y]), return_counts=True)
+        at = np.minimum(np.searchsorted(keys, features), max(len(keys) - 1, 0))
+        return np.where(keys[at] == features, n[at], 0) if len(keys) else np.zeros(features.shape)
+
+    bad, good = (counts(y, table[:, :3]) for y in (1, 0))
+    ratio = (bad / max(total[1], 1)) / ((good + 0.3) / max(total[0], 1))
+    return np.where(bad >= least, ratio, 0.0).max(axis=1, initial=0.0)
+
+
+def tags_of(found: np.ndarray) -> np.ndarray:
+    """Which words of a toxic document, given their odds, are its toxic ones."""
+    own = found >= 12
+    if len(found) and not own.any() and found.max() > 6:
+        own = found == found.max()
+    return own
 
 
 def fit(rows: list[tuple[str, bool]]) -> Field:
     """A field fitted to labelled texts."""
+    return fit_hashed([(hashed(t), y) for t, y in rows])
+
+
+def fit_hashed(rows: list[tuple[Hashed, bool]]) -> Field:
+    """A field fitted to labelled texts whose words are hashed."""
     none = Field(np.zeros(BUCKETS), -12.0, np.zeros((2, 2)))
-    docs = [words_of(t[:SAMPLE_CHARS]) for t, _ in rows]
-    toxic = [y for _, y in rows]
+    docs, toxic = [d for d, _ in rows], [y for _, y in rows]
     if len(set(toxic)) < 2:
         return none
-    known: dict[bytes, list[int]] = {}
-    parts = []
-    for words, own in zip(docs, weak_tags(docs, toxic), strict=True):
-        for lo in range(0, len(words), PIECE):
-            parts.append(([known[w] if w in known else known.setdefault(w, buckets(w)) for w in words[lo : lo + PIECE]], own[lo : lo + PIECE]))
-    if not any(own.any() for _, own in parts):
+    # all words of the sample: their features, and every text as places among them
+    _, first = np.unique(np.concatenate([d.features[:, 0] for d in docs]), return_index=True)
+    table = np.concatenate([d.features for d in docs])[first]
+    texts = [np.searchsorted(table[:, 0], d.features[:, 0]).astype(np.int32)[d.words] for d in docs]
+    odds = weak_odds(docs, toxic, table)
+    own_buckets = (table % np.uint64(BUCKETS)).astype(np.int32)
+    del docs
+    # the last piece of a text is padded
+    s = sum(-(-len(t) // PIECE) for t in texts)
+    x, y, live = np.zeros((s, PIECE), np.int32), np.zeros((s, PIECE), bool), np.zeros((s, PIECE), bool)
+    at = 0
+    for text, bad in zip(texts, toxic, strict=True):
+        n = len(text)
+        x.reshape(-1)[at : at + n], live.reshape(-1)[at : at + n] = text, True
+        if bad:
+            y.reshape(-1)[at : at + n] = tags_of(odds[text])
+        at += -(-n // PIECE) * PIECE
+    if not y.any():
         return none
-    # the last piece of a text is padded; pieces in falling order of length
-    parts.sort(key=lambda p: -len(p[0]))
-    s = len(parts)
-    x, y, live = np.zeros((s, PIECE, FEATURES), np.int32), np.zeros((s, PIECE), np.float32), np.zeros((s, PIECE), bool)
-    for k, (tokens, own) in enumerate(parts):
-        x[k, : len(tokens)], y[k, : len(tokens)], live[k, : len(tokens)] = tokens, own, True
-    del parts, known, docs
-    going = live.sum(axis=0)
-    flat = x.reshape(-1)
+    # pieces in falling order of length
+    order = np.argsort(-live.sum(axis=1), kind="stable")
+    x, y, live = x[order], y[order], live[order]
     pair_seen = np.array([[((y[:, :-1] == a) & (y[:, 1:] == b) & live[:, 1:]).sum() for b in (0, 1)] for a in (0, 1)], float)
     w, bias, pairs = np.zeros(BUCKETS), np.array([-3.0]), np.zeros((2, 2))
     speed = [np.full(BUCKETS, 1e-6), np.full(1, 1e-6), np.full((2, 2), 1e-6)]
     for _ in range(EPOCHS):
-        e = (w[x].sum(axis=2) + bias).astype(np.float32)
-        # expectations of tags and of tag pairs, by forward-backward
-        a = np.exp(pairs)
-        alpha = np.zeros((s, PIECE, 2), np.float32)
-        beta = np.ones((s, PIECE, 2), np.float32)
-        scale = np.ones((s, PIECE, 1), np.float32)
-        pot = np.stack((np.ones_like(e), np.exp(np.clip(e, -50, 50))), axis=2) * live[:, :, None]
-        for t in range(PIECE):
-            k = going[t]
-            alpha[:k, t] = pot[:k, t] * (alpha[:k, t - 1] @ a if t else 1.0)
-            scale[:k, t] = alpha[:k, t].sum(axis=1, keepdims=True)
-            alpha[:k, t] /= scale[:k, t]
-        for t in range(PIECE - 2, -1, -1):
-            k = going[t + 1]
-            beta[:k, t] = ((pot[:k, t + 1] * beta[:k, t + 1]) @ a.T) / scale[:k, t + 1]
-        marginal = (alpha * beta)[:, :, 1]
-        expected = np.einsum("sti,ij,stj,st->ij", alpha[:, :-1], a, pot[:, 1:] * beta[:, 1:], 1 / scale[:, 1:, 0])
-        pull = (y - marginal) * live
-        grads = [
-            np.bincount(flat, np.repeat(pull.reshape(-1), FEATURES), BUCKETS) / s - PENALTY * w,
-            np.array([pull.sum() / s]), (pair_seen - expected) / s,
-        ]
+        words = w[own_buckets].sum(axis=1)
+        pull, total, expected = np.zeros(len(table)), 0.0, np.zeros((2, 2))
+        for lo in range(0, s, GROUP):  # groups of pieces bound what is held at once
+            part = slice(lo, lo + GROUP)
+            missed, pair_sum = _expectations(words[x[part]] + bias, pairs, y[part], live[part])
+            pull += np.bincount(x[part].reshape(-1), missed.reshape(-1), len(table))
+            total += missed.sum()
+            expected += pair_sum
+        grads = [np.bincount(own_buckets.reshape(-1), np.repeat(pull, FEATURES), BUCKETS) / s - PENALTY * w, np.array([total / s]), (pair_seen - expected) / s]
         for value, grad, acc in zip((w, bias, pairs), grads, speed, strict=True):
             acc += grad**2
             value += RATE * grad / np.sqrt(acc)
     field = Field(w, float(bias[0]), pairs)
-    top = np.array([o.max() if len(o) else -12.0 for o in Tagger(field).log_odds([t[:SAMPLE_CHARS] for t, _ in rows])])
+    del x, y, live
+    words = w[own_buckets].sum(axis=1) + field.bias
+    top = np.full(len(texts), -12.0)
+    for k, o in chains(lambda d: words[texts[d]], np.array([len(t) for t in texts]), pairs, 500_000):
+        top[k] = o.max()
     field.slope, field.shift = _calibrate(top, np.array(toxic, float))
     return field
 
 
+def _expectations(e: np.ndarray, pairs: np.ndarray, y: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tags less marginals, and expected tag pairs, of pieces in falling order of length, by forward-backward."""
+    a, s, going = np.exp(pairs), len(e), live.sum(axis=0)
+    alpha = np.zeros((s, PIECE, 2), np.float32)
+    beta = np.ones((s, PIECE, 2), np.float32)
+    scale = np.ones((s, PIECE, 1), np.float32)
+    pot = (np.stack((np.ones_like(e), np.exp(np.clip(e, -50, 50))), axis=2) * live[:, :, None]).astype(np.float32)
+    for t in range(PIECE):
+        k = going[t]
+        alpha[:k, t] = pot[:k, t] * (alpha[:k, t - 1] @ a if t else 1.0)
+        scale[:k, t] = alpha[:k, t].sum(axis=1, keepdims=True)
+        alpha[:k, t] /= scale[:k, t]
+    for t in range(PIECE - 2, -1, -1):
+        k = going[t + 1]
+        beta[:k, t] = ((pot[:k, t + 1] * beta[:k, t + 1]) @ a.T) / scale[:k, t + 1]
+    marginal = (alpha * beta)[:, :, 1]
+    expected = np.einsum("sti,ij,stj,st->ij", alpha[:, :-1], a, pot[:, 1:] * beta[:, 1:], 1 / scale[:, 1:, 0])
+    return (y - marginal) * live, expected
+
+
 def _calibrate(top: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Logistic regression of a document's label on its largest log odds; label 1 weighs a quarter."""
     top = np.clip(top, -12, 12)
@@ -196,18 +232,63 @@ def _calibrate(top: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(theta[0]), 0.05), float(theta[1])
 
 
-def sample_rows(docs: DataFrame, labels: DataFrame, keep: "F.Column", sample: tuple[int, int] = SAMPLE, chars: int = SAMPLE_CHARS) -> list[tuple[str, bool]]:
-    """At most sample[0] texts of label 0 and sample[1] of label 1, whose rows satisfy keep."""
+def sample_rows(docs: DataFrame, labels: DataFrame, keep: "F.Column", sample: tuple[int, int] = SAMPLE, most: int = SAMPLE_BYTES) -> list[tuple[Hashed, bool]]:
+    """At most sample[0] whole texts of label 0 and sample[1] of label 1, whose rows satisfy keep, hashed
+    where they lie. Rows of a label are taken by a hash of the id until they hold ``most`` bytes."""
     ids = None
     for value in (0, 1):
         own = labels.filter((F.col("toxic") == value) & F.col("doc_id").isNotNull() & keep).select("doc_id", "toxic").distinct()
         own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample[value])
         ids = own if ids is None else ids.union(own)
     picked = ids.collect()  # at most sum(sample) rows
-    few = docs.sparkSession.createDataFrame(picked or [], ids.schema)
-    texts = docs.join(F.broadcast(few), "doc_id").select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("text"), "toxic")
-    once = texts.dropDuplicates(["doc_id", "toxic"]) if picked else texts
-    return [(r.text, bool(r.toxic)) for r in sorted(once.collect(), key=lambda r: (r.doc_id, r.toxic))]
+    if not picked:
+        return []
+    few = docs.sparkSession.createDataFrame(picked, ids.schema)
+    texts = docs.join(F.broadcast(few), "doc_id").select("doc_id", "toxic", F.xxhash64("doc_id").alias("turn"), F.coalesce("text", F.lit("")).alias("text"))
+    out = texts.select("doc_id", "toxic", "turn", *(F.lit(None).cast("binary").alias(c) for c in ("features", "words", "mark")))
+    schema = out.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chain.from_iterable(byte_slices(b, "text", 8 << 20) for b in batches):
+            got = [hashed(t) for t in batch.column("text").to_pylist()]
+            made = ([h.features.tobytes() for h in got], [h.words.tobytes() for h in got], [h.mark.to_bytes(8, "little") for h in got])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(m, pa.binary()) for m in made)], names=schema.names)
+
+    once, path = materialize(texts.mapInArrow(run, schema).dropDuplicates(["doc_id", "toxic"]), "toxicity_sample")
+    try:
+        sizes = once.select("doc_id", "toxic", "turn", (F.octet_length("features") + F.octet_length("words")).alias("size")).collect()
+        chosen, used = [], [0, 0]
+        for r in sorted(sizes, key=lambda r: (r.turn, r.doc_id)):
+            if used[bool(r.toxic)] < most:  # one row at least, and whole rows only
+                chosen.append((r.doc_id, r.toxic))
+            used[bool(r.toxic)] += r.size
+        if len(chosen) < len(sizes):
+            once = once.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, ids.schema)), ["doc_id", "toxic"])
+        rows = sorted(once.select("doc_id", "toxic", "features", "words", "mark").collect(), key=lambda r: (r.doc_id, r.toxic))
+    finally:
+        remove(docs.sparkSession, path)
+    return [(Hashed(np.frombuffer(r.features, np.uint64).reshape(-1, FEATURES), np.frombuffer(r.words, np.int32), int.from_bytes(r.mark, "little")), bool(r.toxic)) for r in rows]
+
+
+def chains(e: Callable[[int], np.ndarray], sizes: np.ndarray, pairs: np.ndarray, most: int = 4_000_000) -> Iterator[tuple[int, np.ndarray]]:
+    """For every text with words its place and the log odds of the toxic tag's marginal at each word."""
+    order = np.argsort(-sizes, kind="stable")
+    # groups of like length, so that the padding stays small
+    lo = 0
+    while lo < len(order) and sizes[order[lo]]:
+        longest = sizes[order[lo]]
+        hi = lo + 1
+        while hi < len(order) and sizes[order[hi]] * 2 > longest and (hi - lo) * longest < most:
+            hi += 1
+        own = order[lo:hi]
+        table = np.zeros((len(own), longest))
+        for k, d in enumerate(own):
+            table[k, : sizes[d]] = e(d)
+        live = np.searchsorted(-sizes[own], -np.arange(longest), "left")
+        odds = _forward_backward(np.asfortranarray(table), pairs, live)
+        for k, d in enumerate(own):
+            yield d, odds[k, : sizes[d]].copy()
+        lo = hi
 
 
 class Tagger:
@@ -230,25 +311,9 @@ class Tagger:
     def log_odds(self, texts: list[str]) -> list[np.ndarray]:
         """Log odds of the toxic tag's marginal at every word of every text."""
         e = [self.emissions(words_of(t)) for t in texts]
-        sizes = np.array([len(x) for x in e])
-        order = np.argsort(-sizes, kind="stable")
         out: list[np.ndarray] = [np.empty(0)] * len(texts)
-        # groups of like length, so that the padding stays small
-        lo = 0
-        while lo < len(order) and sizes[order[lo]]:
-            longest = sizes[order[lo]]
-            hi = lo + 1
-            while hi < len(order) and sizes[order[hi]] * 2 > longest and (hi - lo) * longest < 4_000_000:
-                hi += 1
-            own = order[lo:hi]
-            table = np.zeros((len(own), longest))
-            for k, d in enumerate(own):
-                table[k, : sizes[d]] = e[d]
-            live = np.searchsorted(-sizes[own], -np.arange(longest), "left")
-            odds = _forward_backward(np.asfortranarray(table), self.field.pairs, live)
-            for k, d in enumerate(own):
-                out[d] = odds[k, : sizes[d]].copy()
-            lo = hi
+        for d, odds in chains(e.__getitem__, np.array([len(x) for x in e]), self.field.pairs):
+            out[d] = odds
         return out
 
 
@@ -291,12 +356,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF)
     """Per row of docs: doc_id, held_out, score, predicted, spans."""
     held = crc_mod("doc_id", 4) == 2
     slim = docs.select("doc_id", "text")
-    field = fit(sample_rows(slim, labels, ~held))
+    field = fit_hashed(sample_rows(slim, labels, ~held))
     return tag(slim, field).select("doc_id", held.alias("held_out"), F.col("_tox.score").alias("score"), (F.col("_tox.score") >= cutoff).cast("int").alias("predicted"), F.col("_tox.spans").alias("spans"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """docs without those that the field rejects; it learns as score_documents does."""
-    field = fit(sample_rows(docs.select("doc_id", "text"), labels, crc_mod("doc_id", 4) != 2))
+    field = fit_hashed(sample_rows(docs.select("doc_id", "text"), labels, crc_mod("doc_id", 4) != 2))
     columns = docs.columns
     return tag(docs, field).filter(F.col("_tox.score") < cutoff).select(*columns)

@@ -344,3 +344,16 @@ def test_toxicity_short_texts_and_last_words():
         field = toxicity.fit(rows)
         scores = [field.score(o) for o in toxicity.Tagger(field).log_odds([t for t, _ in rows])]
         assert [p >= toxicity.CUTOFF for p in scores] == [y for _, y in rows]
+
+
+def test_toxicity_late_passages(spark):
+    rng = random.Random(8)
+    plain = [f"calm{k}" for k in range(60)]
+    rows = [(k, " ".join([*rng.choices(plain, k=1200), *["vilewort"] * (k % 4 == 0), *rng.choices(plain, k=5)])) for k in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k, _ in rows], "doc_id long, toxic int")
+    got = toxicity.score_documents(docs, labels).collect()
+    assert {r.doc_id: r.predicted for r in got} == {k: int(k % 4 == 0) for k, _ in rows}
+    # a bound on bytes leaves out rows, never parts of them
+    sample = toxicity.sample_rows(docs, labels, F.lit(True), most=30_000)
+    assert {len(h.words) for h, _ in sample} <= {1205, 1206} and 2 < len(sample) < 80 and {y for _, y in sample} == {False, True}
