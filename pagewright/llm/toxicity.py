@@ -7,8 +7,9 @@ sample; words with a marginal of one half or more are the offending spans.
 
 Only documents carry labels, so word labels are made first: in toxic documents of the
 sample, a word whose features are met in far more toxic than other documents is toxic
-(if none stands out, the word that stands out most). Documents are the unit of these
-counts, near copies counted once. The field is then fitted by gradient steps on every word of
+(if none stands out, the word that stands out most; a document without any teaches the field
+nothing). Documents are the unit of these counts, near copies counted once; a feature counts from
+``LEAST`` toxic documents on, by a ratio with one added to either count. The field is then fitted by gradient steps on every word of
 the sample, in pieces of 16 words, the last piece of a text as long as it is.
 
 The sample of labelled rows is bounded: at most ``SAMPLE`` rows of label 0 and of label 1, the
@@ -37,7 +38,7 @@ from .common import ALNUM_TABLE, byte_slices, crc_mod, materialize, remove
 
 SAMPLE, SAMPLE_BYTES, GROUP = (2400, 1000), 48 << 20, 1 << 15
 BUCKETS, FEATURES, PIECE, EPOCHS, RATE, PENALTY = 1 << 17, 4, 16, 30, 0.4, 2e-6
-CUTOFF, SPAN_CUTOFF = 0.3, 0.5
+CUTOFF, SPAN_CUTOFF, LEAST = 0.3, 0.5, 3
 
 
 def words_of(text: str) -> list[bytes]:
@@ -120,7 +121,6 @@ def weak_odds(docs: list[Hashed], toxic: list[bool], table: np.ndarray) -> np.nd
         seen.add((d.mark, y))
         total[y] += 1
         held[y].append(np.unique(d.features[:, :3]))
-    least = max(3, total[1] // 50)
 
     def counts(y: int, features: np.ndarray) -> np.ndarray:
         keys, n = np.unique(np.concatenate(held[y]), return_counts=True)
@@ -128,8 +128,8 @@ def weak_odds(docs: list[Hashed], toxic: list[bool], table: np.ndarray) -> np.nd
         return np.where(keys[at] == features, n[at], 0) if len(keys) else np.zeros(features.shape)
 
     bad, good = (counts(y, table[:, :3]) for y in (1, 0))
-    ratio = (bad / max(total[1], 1)) / ((good + 0.3) / max(total[0], 1))
-    return np.where(bad >= least, ratio, 0.0).max(axis=1, initial=0.0)
+    ratio = ((bad + 1) / (total[1] + 1)) / ((good + 1) / (total[0] + 1))
+    return np.where(bad >= LEAST, ratio, 0.0).max(axis=1, initial=0.0)
 
 
 def tags_of(found: np.ndarray) -> np.ndarray:
@@ -164,14 +164,15 @@ def fit_hashed(rows: list[tuple[Hashed, bool]]) -> Field:
     at = 0
     for text, bad in zip(texts, toxic, strict=True):
         n = len(text)
-        x.reshape(-1)[at : at + n], live.reshape(-1)[at : at + n] = text, True
-        if bad:
-            y.reshape(-1)[at : at + n] = tags_of(odds[text])
+        own = tags_of(odds[text]) if bad else np.zeros(n, bool)
+        # a toxic text in which nothing stands out is no example of clean words either
+        x.reshape(-1)[at : at + n], y.reshape(-1)[at : at + n], live.reshape(-1)[at : at + n] = text, own, own.any() or not bad
         at += -(-n // PIECE) * PIECE
     if not y.any():
         return none
     # pieces in falling order of length
-    order = np.argsort(-live.sum(axis=1), kind="stable")
+    order = np.argsort(-live.sum(axis=1), kind="stable")[: live.any(axis=1).sum()]
+    s = len(order)
     x, y, live = x[order], y[order], live[order]
     pair_seen = np.array([[((y[:, :-1] == a) & (y[:, 1:] == b) & live[:, 1:]).sum() for b in (0, 1)] for a in (0, 1)], float)
     w, bias, pairs = np.zeros(BUCKETS), np.array([-3.0]), np.zeros((2, 2))

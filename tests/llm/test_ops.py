@@ -357,3 +357,14 @@ def test_toxicity_late_passages(spark):
     # a bound on bytes leaves out rows, never parts of them
     sample = toxicity.sample_rows(docs, labels, F.lit(True), most=30_000)
     assert {len(h.words) for h, _ in sample} <= {1205, 1206} and 2 < len(sample) < 80 and {y for _, y in sample} == {False, True}
+
+
+def test_toxicity_many_rare_words():
+    rng = random.Random(9)
+    plain = [f"calm{k}" for k in range(300)]
+    bad = ["".join(rng.choices("abcdefghijklmnop", k=9)) for _ in range(60)]
+    # each offending word in 8 of 480 toxic texts
+    rows = [(" ".join([*rng.choices(plain, k=20), bad[k % 60]]), True) for k in range(480)] + [(" ".join(rng.choices(plain, k=21)), False) for _ in range(900)]
+    field = toxicity.fit(rows)
+    scores = [field.score(o) for o in toxicity.Tagger(field).log_odds([t for t, _ in rows])]
+    assert sum((p >= toxicity.CUTOFF) == y for p, (_, y) in zip(scores, rows, strict=True)) >= 0.98 * len(rows)
