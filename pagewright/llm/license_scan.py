@@ -31,7 +31,7 @@ _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
 #: Substrings without one of which no rule and no phrase can match (checked by a test).
-GATE = ("licen", "copyright", "copyleft", "public domain", "spdx", "cc0", "creativecommons", "creative commons", "all rights reserved", "as is", "redistribut", "gpl", "bsd", "neither the name", "permission", "released", "cc")
+GATE = ("licen", "copyright", "copyleft", "domain", "spdx", "cc0", "creative", "reserved", "provided", "redistribut", "gpl", "bsd", "neither", "permission", "released", "cc")
 
 _W = r"[\s\-_,.:;/()\"'*#]+"  # between words of a signature
 _V = r"(?:v|ver|version)?\.?\s*"
@@ -61,7 +61,7 @@ def rules() -> list[tuple[str, str, int, str, float]]:
         add(label, "gnu", 40, base, 0.9)
         for version in ("1", "2", "3"):
             add(f"{label}-{version}", "gnu", 20, rf"{base}{_W}{_V}{version}(?:[.][0-9])?(?![0-9])", 0.97)
-            add(f"{label}-{version}+", "gnu", 10, rf"{base}[^\n]{{0,80}}?{_V}{version}[^\n]{{0,60}}?or{_W}(?:\(at{_W}your{_W}option\){_W})?any{_W}later", 0.98)
+            add(f"{label}-{version}+", "gnu", 10, rf"{base}(?s:.{{0,80}}?){_V}{version}(?s:.{{0,60}}?)or{_W}(?:\(at{_W}your{_W}option\){_W})?any{_W}later", 0.98)
     for label in ("gpl", "lgpl", "agpl"):
         for version in ("2", "3"):
             add(f"{label}-{version}", label, 30, rf"(?<![a-z0-9]){label}[\s-]*{_V}{version}(?![0-9])", 0.9)
@@ -93,7 +93,7 @@ def rules() -> list[tuple[str, str, int, str, float]]:
     for variant, label in (("new", "bsd-3-clause"), ("modified", "bsd-3-clause"), ("revised", "bsd-3-clause"), ("simplified", "bsd-2-clause"), ("freebsd", "bsd-2-clause"), ("original", "bsd-4-clause")):
         add(label, "bsd", 25, rf"(?:{variant}){_W}bsd{_W}licen[cs]e", 0.95)
     add("bsd", "bsd", 40, _words("bsd licen[cs]e"), 0.9)
-    add("bsd-3-clause", "neither the name", 30, _words("neither the name of") + r"[^\n]{0,120}?nor" + _W + _words("the names of (?:its|any) contributors"), 0.9)
+    add("bsd-3-clause", "neither", 30, _words("neither the name of") + r"(?s:.{0,120}?)nor" + _W + _words("the names of (?:its|any) contributors"), 0.9)
     add("bsd", "redistribution", 31, _words("redistribution and use in source and binary forms with or without modification"), 0.9)
     # MIT, ISC and other short permissive ones
     add("mit", "mit", 30, rf"(?<![a-z0-9])mit{_W}licen[cs]e", 0.95)
@@ -109,11 +109,11 @@ def rules() -> list[tuple[str, str, int, str, float]]:
         for version in ("1", "2", "3"):
             add(f"{label}-{version}", keyword, 20, rf"{_words(name)}{_W}{_V}{version}(?:[.][0-9])?(?![0-9])", 0.96)
     # notices
-    add("public-domain", "public domain", 60, rf"(?:released|placed|dedicated|is){_W}(?:in|into|to){_W}the{_W}public{_W}domain", 0.8)
-    add("all-rights-reserved", "all rights reserved", 70, _words("all rights reserved"), 0.6)
+    add("public-domain", "domain", 60, rf"(?:released|placed|dedicated|is){_W}(?:in|into|to){_W}the{_W}public{_W}domain", 0.8)
+    add("all-rights-reserved", "reserved", 70, _words("all rights reserved"), 0.6)
     add("copyright", "copyright", 80, rf"copyright{_W}(?:\(c\)|©)?\s*(?:19|20)[0-9][0-9]", 0.4)
-    add("no-warranty", "as is", 75, _words("provided as is") + rf"{_W}without{_W}warrant(?:y|ies)", 0.5)
-    add("proprietary", "proprietary", 65, rf"proprietary{_W}and{_W}confidential[^\n]{{0,200}}?licen[cs]e", 0.6)
+    add("no-warranty", "provided", 75, _words("provided as is") + rf"{_W}without{_W}warrant(?:y|ies)", 0.5)
+    add("proprietary", "proprietary", 65, rf"proprietary{_W}and{_W}confidential(?s:.{{0,200}}?)licen[cs]e", 0.6)
     add("eula", "licen", 65, _words("end user licen[cs]e agreement"), 0.7)
     return out
 

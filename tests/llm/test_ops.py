@@ -334,6 +334,16 @@ def test_toxicity(spark):
     assert toxicity.score_documents(docs.filter("false"), table).count() == 0
 
 
+@pytest.mark.parametrize(("text", "label"), [
+    ("under the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version", "gpl-3+"),
+    ("All\nrights reserved", "all-rights-reserved"), ("provided as\nis, without warranty", "no-warranty"), ("released into the public\ndomain", "public-domain"),
+    ("Neither\nthe name of X\nnor the names of its contributors", "bsd-3-clause"), ("proprietary and confidential,\nsee the license", "proprietary"), ("Creative-Commons Attribution", "cc-by"),
+])
+def test_wrapped_licenses(spark, text, label):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert label in license_scan.scan(df).first().labels.split(",")
+
+
 def test_toxicity_short_texts_and_last_words():
     rng = random.Random(7)
     plain = [f"calm{k}" for k in range(40)]
