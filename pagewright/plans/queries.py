@@ -132,16 +132,20 @@ def human_sizes(s, d):
 
 @query(f"SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains({_flat('d.text')}, {_flat('b.text')}) AND {_flat('b.text')} <> ''")
 def grounding(s, d):
-    """Passages that occur in documents; candidates share the passage's rarest token."""
+    """Passages that occur in documents; candidates share tokens, passages of two distinct tokens or fewer meet all documents."""
     docs = _t(s, d, "documents").select("doc_id", flatten(F.col("text")).alias("flat"), F.array_distinct(tokenize(F.col("text"))).alias("tk"))
     tok = docs.select("doc_id", F.explode("tk").alias("token"))
     b = _t(s, d, "benchmark").select("item_id", flatten(F.col("text")).alias("quote"), F.array_distinct(tokenize(F.col("text"))).alias("tk"))
+    # such passages may stand inside longer words alone
+    short = b.filter((F.size("tk") <= 2) & (F.col("quote") != "")).select("item_id", "quote")
+    direct = docs.select("doc_id", "flat").join(short, F.contains("flat", "quote")).select("item_id", "doc_id")
+    b = b.filter(F.size("tk") > 2)
     words = b.select("item_id", F.explode("tk").alias("token"))
     need = words.groupBy("item_id").agg(F.count("*").alias("need"))
     # first and last words of a quote may be cut out of longer words; all others must occur
     both = words.join(tok, "token").groupBy("item_id", "doc_id").agg(F.count("*").alias("got")).join(need, "item_id").filter("got >= need - 2")
     found = both.join(docs.select("doc_id", "flat"), "doc_id").join(b.select("item_id", "quote"), "item_id")
-    return found.filter((F.col("quote") != "") & F.contains("flat", "quote")).select("item_id", "doc_id")
+    return found.filter((F.col("quote") != "") & F.contains("flat", "quote")).select("item_id", "doc_id").unionAll(direct)
 
 
 # --- BM25 ---

@@ -132,3 +132,14 @@ def test_html_blocks(spark):
     html = "<html><script>var a='</p>';</script><body><nav><li>Home</li></nav><h1>Title</h1><p>One <b>two</b><p>Three</p><footer>f</footer></body>"
     rows = tables.from_html(spark.createDataFrame([(1, html)], "page_id int, html string")).collect()
     assert [(r.label, r.text, r.is_furniture) for r in rows] == [("list_item", "Home", True), ("title", "Title", False), ("text", "One two", False), ("text", "Three", False), ("page_footer", "f", True)]
+
+
+def test_grounding_short_passages(spark, tmp_path):
+    from pagewright.plans.queries import QUERIES
+
+    docs = [(1, "The party went on"), (2, "What?! -- nothing"), (3, "one two three four")]
+    items = [(1, "art"), (2, "?! --"), (3, "two three four"), (4, " "), (5, "arty wen"), (6, "absent")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted(map(tuple, QUERIES["grounding"](spark, str(tmp_path)).collect()))
+    assert got == [(1, 1), (2, 2), (3, 3), (5, 1)]
