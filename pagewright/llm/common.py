@@ -2,11 +2,16 @@
 
 Lineage is cut by writing a table into the folder named by ``spark.checkpoint.dir``,
 which the driver and all executors see. A folder of our own is used only where that
-setting is absent (tests on one machine).
+setting is absent and Spark runs on one machine (tests); on a cluster its absence is an error.
+
+Written tables that a returned DataFrame reads must outlive the call. ``scratch`` removes all
+that were written inside it, once its user has consumed the result; the rest goes when the
+driver's process ends.
 """
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,6 +24,8 @@ from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWN_FOLDER: list[str] = []
+#: Paths of written tables: of the process, then of every open scratch.
+_SCOPES: list[list[str]] = [[]]
 
 #: A run of what the contracts call a word between ASCII white space.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
@@ -36,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _OWN_FOLDER:
             _OWN_FOLDER.append("file://" + tempfile.mkdtemp(prefix="pagewright-"))
         named = _OWN_FOLDER[0]
@@ -45,7 +54,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/pagewright/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is written there belongs to the innermost scratch."""
+    path = f"{shared_dir(spark)}/pagewright/{name}-{uuid.uuid4().hex}"
+    _SCOPES[-1].append(path)
+    return path
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -53,6 +65,45 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    for scope in _SCOPES:
+        if path in scope:
+            scope.remove(path)
+
+
+def keep(path: str) -> None:
+    """Hands a table written in the innermost scratch to the one around it."""
+    if len(_SCOPES) > 1 and path in _SCOPES[-1]:
+        _SCOPES[-1].remove(path)
+        _SCOPES[-2].append(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes every table written inside, but for those given to ``keep``."""
+    scope: list[str] = []
+    _SCOPES.append(scope)
+    try:
+        yield
+    finally:
+        for path in list(scope):
+            remove(spark, path)
+        _SCOPES.remove(scope)
+
+
+@atexit.register
+def _remove_the_rest() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        for path in list(_SCOPES[0]):
+            remove(spark, path)
+
+
+def fresh_name(taken: list[str], name: str) -> str:
+    """name, or with underscores after it if a column has that name (case does not tell columns apart)."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
 
 
 @contextmanager
@@ -88,6 +139,12 @@ def byte_slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iter
         yield batch.slice(start)
 
 
+def array_slices(array: pa.Array, most: int = 1 << 20) -> Iterator[list[str]]:
+    """The texts of an array, about ``most`` bytes at a time."""
+    for part in byte_slices(pa.RecordBatch.from_arrays([array], ["text"]), "text", most):
+        yield part.column(0).to_pylist()
+
+
 def utf8(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """The UTF-8 bytes of a text column; null counts as empty."""
     got = batch.column(column)

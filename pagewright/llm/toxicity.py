@@ -15,36 +15,55 @@ the sample, in pieces of 16 words, the last piece of a text as long as it is.
 The sample of labelled rows is bounded: at most ``SAMPLE`` rows of label 0 and of label 1, the
 smallest by a hash of the id, whole texts. They are hashed on the executors; of a label whose
 hashed texts hold over ``SAMPLE_BYTES`` (about 15 MB of text), the rows beyond that are left out,
-never a part of one. Scoring covers whole texts of all rows.
+never a part of one. One task fits the field to them; the driver gets its weights alone.
+Scoring covers whole texts of all rows and hands nothing but the text to Python.
 
 Defined cases: null and empty texts score 0; a null id is judged by its text like any
 other and is never sampled; labels of unknown ids and null labels teach nothing; repeated
-labels count once a row of the sample; without rows of both labels every score is 0.
+labels count once a row of the sample; of unlike texts under one id the one with the lowest
+hash is sampled; without rows of both labels every score is 0; an empty table gives an empty
+result. A text is read in parts of ``SLICE`` bytes cut at blanks, so a very long one costs
+eight bytes a word and table. Columns of any name pass through ``drop_toxic`` as they are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_TABLE, byte_slices, crc_mod, materialize, remove
+from .common import ALNUM_TABLE, array_slices, byte_slices, crc_mod, materialize, remove
 
 SAMPLE, SAMPLE_BYTES, GROUP = (2400, 1000), 48 << 20, 1 << 15
 BUCKETS, FEATURES, PIECE, EPOCHS, RATE, PENALTY = 1 << 17, 4, 16, 30, 0.4, 2e-6
 CUTOFF, SPAN_CUTOFF, LEAST = 0.3, 0.5, 3
+#: Bytes of text that a worker scores at once, words whose emissions it remembers, words of a block.
+SLICE, REMEMBERED, BLOCK = 1 << 20, 200_000, 64
 
 
 def words_of(text: str) -> list[bytes]:
     return text.lower().encode().translate(ALNUM_TABLE).split()
 
 
+def word_parts(text: str) -> Iterator[list[bytes]]:
+    """The words of a text, of about SLICE bytes at a time."""
+    plain = text.lower().encode().translate(ALNUM_TABLE)
+    lo = 0
+    while len(plain) - lo > SLICE:
+        hi = plain.find(b" ", lo + SLICE)
+        if hi < 0:
+            break
+        yield plain[lo:hi].split()
+        lo = hi
+    yield plain[lo:].split()
+
+
 def feature_names(word: bytes) -> list[bytes]:
     chars = word.decode(errors="replace")
     return [b"w" + word, b"4" + chars[:4].encode(), b"5" + chars[:5].encode(), b"s" + chars[-3:].encode()]
@@ -60,10 +79,6 @@ class Hashed:
     mark: int
 
 
-def buckets(word: bytes) -> list[int]:
-    return [xxhash.xxh64_intdigest(f, 3) % BUCKETS for f in feature_names(word)]
-
-
 @dataclass
 class Field:
     """Weights of a bucket for the toxic tag, the log potentials of tag pairs, and how a
@@ -82,25 +97,79 @@ class Field:
         return float(1 / (1 + np.exp(-np.clip(self.slope * odds.max() + self.shift, -60, 60))))
 
 
-def _forward_backward(e: np.ndarray, pairs: np.ndarray, live: np.ndarray | None = None) -> np.ndarray:
-    """Log odds of the toxic tag; e has a row for each sequence and a column for each place.
+def marginal_odds(e: list[np.ndarray], pairs: np.ndarray) -> list[np.ndarray]:
+    """Log odds of the toxic tag's marginal at every word of texts, from the words' emission scores.
 
-    live: how many rows go on at each place, rows in falling order of length.
+    Forward-backward in blocks of ``BLOCK`` words: the transfer matrices of all blocks of all texts
+    are multiplied up side by side, the state is carried from block to block along each text, and
+    then all blocks are walked side by side from the states they begin with. Exact, and a long text
+    takes as many steps as it has blocks, not words.
     """
-    rows, n = e.shape
     a = np.exp(pairs)
-    forward, backward = np.zeros_like(e), np.zeros_like(e)
-    live = np.full(n, rows) if live is None else live
-    forward[:, 0] = e[:, 0]
-    for t in range(1, n):
-        k = live[t]
-        r = np.exp(np.clip(forward[:k, t - 1], -60, 60))
-        forward[:k, t] = e[:k, t] + np.log((a[0, 1] + r * a[1, 1]) / (a[0, 0] + r * a[1, 0]))
-    for t in range(n - 2, -1, -1):
-        k = live[t + 1]
-        r = np.exp(np.clip(e[:k, t + 1] + backward[:k, t + 1], -60, 60))
-        backward[:k, t] = np.log((a[1, 0] + r * a[1, 1]) / (a[0, 0] + r * a[0, 1]))
-    return forward + backward
+    sizes = np.array([len(x) for x in e], np.int64)
+    counts = -(-sizes // BLOCK)
+    texts = np.flatnonzero(counts)
+    texts = texts[np.argsort(-counts[texts], kind="stable")]  # so that those with a k-th block come first
+    out: list[np.ndarray] = [np.empty(0)] * len(e)
+    if not len(texts):
+        return out
+    counts = counts[texts]
+    first = np.cumsum(counts) - counts  # each text's first block
+    n = int(counts.sum())
+    score, live = np.zeros((n, BLOCK)), np.zeros((n, BLOCK), bool)
+    for k, text in enumerate(texts.tolist()):
+        at = first[k] * BLOCK
+        score.reshape(-1)[at : at + sizes[text]] = e[text]
+        live.reshape(-1)[at : at + sizes[text]] = True
+    score, live = np.asfortranarray(score), np.asfortranarray(live)
+    # transfer matrices; a text's first word has no transition before it
+    m = np.zeros((4, n))
+    m[0] = m[3] = 1.0
+    heads = np.zeros(n, bool)
+    heads[first] = True
+    for t in range(BLOCK):
+        p, go = np.exp(np.clip(score[:, t], -60, 60)), live[:, t]
+        step = np.stack((m[0] * a[0, 0] + m[1] * a[1, 0], (m[0] * a[0, 1] + m[1] * a[1, 1]) * p, m[2] * a[0, 0] + m[3] * a[1, 0], (m[2] * a[0, 1] + m[3] * a[1, 1]) * p))
+        if t == 0:
+            step[0, heads], step[1, heads], step[2, heads], step[3, heads] = 1.0, p[heads], 1.0, p[heads]
+        step /= step.max(axis=0)
+        m = np.where(go, step, m)
+    # the state before each block, and the backward state after it, as log odds
+    into, back = np.zeros(n), np.zeros(n)
+    v = np.ones((2, len(texts)))
+    for k in range(int(counts[0])):
+        own = first[: np.searchsorted(-counts, -k, "left")]  # texts with a k-th block
+        now, b = v[:, : len(own)], own + k
+        into[b] = np.log(now[1] / now[0])
+        nxt = np.stack((now[0] * m[0, b] + now[1] * m[2, b], now[0] * m[1, b] + now[1] * m[3, b]))
+        v = nxt / nxt.max(axis=0)
+    u = np.ones((2, len(texts)))
+    for k in range(int(counts[0]) - 1, 0, -1):
+        own = first[: np.searchsorted(-counts, -k, "left")]
+        b = own + k
+        got = np.stack((m[0, b] * u[0, : len(own)] + m[1, b] * u[1, : len(own)], m[2, b] * u[0, : len(own)] + m[3, b] * u[1, : len(own)]))
+        u[:, : len(own)] = got / got.max(axis=0)
+        back[b - 1] = np.log(u[1, : len(own)] / u[0, : len(own)])
+    odds = np.zeros((n, BLOCK), order="F")
+    f = into
+    for t in range(BLOCK):
+        r = np.exp(np.clip(f, -60, 60))
+        moved = np.log((a[0, 1] + r * a[1, 1]) / (a[0, 0] + r * a[1, 0]))
+        if t == 0:
+            moved[heads] = 0.0
+        f = score[:, t] + moved
+        odds[:, t] = f
+    g = back
+    for t in range(BLOCK - 2, -1, -1):
+        r = np.exp(np.clip(score[:, t + 1] + g, -60, 60))
+        g = np.where(live[:, t + 1], np.log((a[1, 0] + r * a[1, 1]) / (a[0, 0] + r * a[0, 1])), back)
+        odds[:, t] += g
+    odds[:, BLOCK - 1] += back
+    odds = np.ascontiguousarray(odds).reshape(-1)
+    for k, text in enumerate(texts.tolist()):
+        at = first[k] * BLOCK
+        out[text] = odds[at : at + sizes[text]]
+    return out
 
 
 def hashed(text: str) -> Hashed:
@@ -194,8 +263,9 @@ def fit_hashed(rows: list[tuple[Hashed, bool]]) -> Field:
     del x, y, live
     words = w[own_buckets].sum(axis=1) + field.bias
     top = np.full(len(texts), -12.0)
-    for k, o in chains(lambda d: words[texts[d]], np.array([len(t) for t in texts]), pairs, 500_000):
-        top[k] = o.max()
+    for lo in range(0, len(texts), 200):  # a few texts at a time bound what is held at once
+        for k, o in enumerate(marginal_odds([words[t] for t in texts[lo : lo + 200]], pairs), lo):
+            top[k] = o.max(initial=-12.0) if len(o) else -12.0
     field.slope, field.shift = _calibrate(top, np.array(toxic, float))
     return field
 
@@ -233,9 +303,8 @@ def _calibrate(top: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(theta[0]), 0.05), float(theta[1])
 
 
-def sample_rows(docs: DataFrame, labels: DataFrame, keep: "F.Column", sample: tuple[int, int] = SAMPLE, most: int = SAMPLE_BYTES) -> list[tuple[Hashed, bool]]:
-    """At most sample[0] whole texts of label 0 and sample[1] of label 1, whose rows satisfy keep, hashed
-    where they lie. Rows of a label are taken by a hash of the id until they hold ``most`` bytes."""
+def _sampled(docs: DataFrame, labels: DataFrame, keep: "F.Column", sample: tuple[int, int], most: int) -> tuple[DataFrame, str] | None:
+    """Hashed texts of the sample as a written table and its path; none if no label fits."""
     ids = None
     for value in (0, 1):
         own = labels.filter((F.col("toxic") == value) & F.col("doc_id").isNotNull() & keep).select("doc_id", "toxic").distinct()
@@ -243,53 +312,66 @@ def sample_rows(docs: DataFrame, labels: DataFrame, keep: "F.Column", sample: tu
         ids = own if ids is None else ids.union(own)
     picked = ids.collect()  # at most sum(sample) rows
     if not picked:
-        return []
+        return None
     few = docs.sparkSession.createDataFrame(picked, ids.schema)
-    texts = docs.join(F.broadcast(few), "doc_id").select("doc_id", "toxic", F.xxhash64("doc_id").alias("turn"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    # one text an id, so that a repeated id is met once and reruns agree
+    texts = docs.join(F.broadcast(few), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64(text).alias("h"), text.alias("text"))).alias("x"))
+    texts = texts.select("doc_id", "toxic", F.xxhash64("doc_id").alias("turn"), F.col("x.text").alias("text"))
     out = texts.select("doc_id", "toxic", "turn", *(F.lit(None).cast("binary").alias(c) for c in ("features", "words", "mark")))
     schema = out.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chain.from_iterable(byte_slices(b, "text", 8 << 20) for b in batches):
+        for batch in chain.from_iterable(byte_slices(b, "text", SLICE) for b in batches):
             got = [hashed(t) for t in batch.column("text").to_pylist()]
             made = ([h.features.tobytes() for h in got], [h.words.tobytes() for h in got], [h.mark.to_bytes(8, "little") for h in got])
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(m, pa.binary()) for m in made)], names=schema.names)
 
-    once, path = materialize(texts.mapInArrow(run, schema).dropDuplicates(["doc_id", "toxic"]), "toxicity_sample")
-    try:
-        sizes = once.select("doc_id", "toxic", "turn", (F.octet_length("features") + F.octet_length("words")).alias("size")).collect()
-        chosen, used = [], [0, 0]
-        for r in sorted(sizes, key=lambda r: (r.turn, r.doc_id)):
-            if used[bool(r.toxic)] < most:  # one row at least, and whole rows only
-                chosen.append((r.doc_id, r.toxic))
-            used[bool(r.toxic)] += r.size
-        if len(chosen) < len(sizes):
-            once = once.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, ids.schema)), ["doc_id", "toxic"])
-        rows = sorted(once.select("doc_id", "toxic", "features", "words", "mark").collect(), key=lambda r: (r.doc_id, r.toxic))
-    finally:
-        remove(docs.sparkSession, path)
-    return [(Hashed(np.frombuffer(r.features, np.uint64).reshape(-1, FEATURES), np.frombuffer(r.words, np.int32), int.from_bytes(r.mark, "little")), bool(r.toxic)) for r in rows]
-
-
-def chains(e: Callable[[int], np.ndarray], sizes: np.ndarray, pairs: np.ndarray, most: int = 4_000_000) -> Iterator[tuple[int, np.ndarray]]:
-    """For every text with words its place and the log odds of the toxic tag's marginal at each word."""
-    order = np.argsort(-sizes, kind="stable")
-    # groups of like length, so that the padding stays small
-    lo = 0
-    while lo < len(order) and sizes[order[lo]]:
-        longest = sizes[order[lo]]
-        hi = lo + 1
-        while hi < len(order) and sizes[order[hi]] * 2 > longest and (hi - lo) * longest < most:
-            hi += 1
-        own = order[lo:hi]
-        table = np.zeros((len(own), longest))
-        for k, d in enumerate(own):
-            table[k, : sizes[d]] = e(d)
-        live = np.searchsorted(-sizes[own], -np.arange(longest), "left")
-        odds = _forward_backward(np.asfortranarray(table), pairs, live)
-        for k, d in enumerate(own):
-            yield d, odds[k, : sizes[d]].copy()
-        lo = hi
+    once, path = materialize(texts.mapInArrow(run, schema), "toxicity_sample")
+    sizes = once.select("doc_id", "toxic", "turn", (F.octet_length("features") + F.octet_length("words")).alias("size")).collect()
+    chosen, used = [], [0, 0]
+    for r in sorted(sizes, key=lambda r: (r.turn, r.doc_id)):
+        if used[bool(r.toxic)] < most:  # one row at least, and whole rows only
+            chosen.append((r.doc_id, r.toxic))
+        used[bool(r.toxic)] += r.size
+    if len(chosen) < len(sizes):
+        once = once.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, ids.schema)), ["doc_id", "toxic"])
+    return once.select("doc_id", "toxic", "features", "words", "mark"), path
+
+
+def _unpacked(toxic: int, features: bytes, words: bytes, mark: bytes) -> tuple[Hashed, bool]:
+    return Hashed(np.frombuffer(features, np.uint64).reshape(-1, FEATURES), np.frombuffer(words, np.int32), int.from_bytes(mark, "little")), bool(toxic)
+
+
+def sample_rows(docs: DataFrame, labels: DataFrame, keep: "F.Column", sample: tuple[int, int] = SAMPLE, most: int = SAMPLE_BYTES) -> list[tuple[Hashed, bool]]:
+    """At most sample[0] whole texts of label 0 and sample[1] of label 1, whose rows satisfy keep, hashed
+    where they lie. Rows of a label are taken by a hash of the id until they hold ``most`` bytes."""
+    found = _sampled(docs, labels, keep, sample, most)
+    if found is None:
+        return []
+    rows = sorted(found[0].collect(), key=lambda r: (r.doc_id, r.toxic))
+    remove(docs.sparkSession, found[1])
+    return [_unpacked(*r[1:]) for r in rows]
+
+
+def learn(docs: DataFrame, labels: DataFrame, keep: "F.Column", sample: tuple[int, int] = SAMPLE, most: int = SAMPLE_BYTES) -> Field:
+    """The field that one task fits to the sample."""
+    found = _sampled(docs, labels, keep, sample, most)
+    if found is None:
+        return fit_hashed([])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        field = fit_hashed([_unpacked(*r[1:]) for r in sorted(rows, key=lambda r: r[:2])])
+        rest = [field.bias, *field.pairs.reshape(-1).tolist(), field.slope, field.shift]
+        yield pa.RecordBatch.from_arrays([pa.array([field.weights.tobytes()], pa.binary()), pa.array([rest], pa.list_(pa.float64()))], ["weights", "rest"])
+
+    got = found[0].coalesce(1).mapInArrow(run, "weights binary, rest array<double>").collect()
+    remove(docs.sparkSession, found[1])
+    if not got:
+        return fit_hashed([])
+    (weights, (bias, *pairs, slope, shift)), *_ = got
+    return Field(np.frombuffer(weights), bias, np.array(pairs).reshape(2, 2), slope, shift)
 
 
 class Tagger:
@@ -298,24 +380,24 @@ class Tagger:
     def __init__(self, field: Field):
         self.field, self.known = field, {}
 
-    def emissions(self, words: list[bytes]) -> np.ndarray:
-        known, out = self.known, []
-        for w in words:
-            e = known.get(w)
-            if e is None:
-                if len(known) > 500_000:
-                    known.clear()
-                e = known[w] = float(self.field.weights[buckets(w)].sum()) + self.field.bias
-            out.append(e)
-        return np.array(out)
+    def emissions(self, text: str) -> np.ndarray:
+        parts = []
+        for words in word_parts(text):
+            found = list(map(self.known.get, words))
+            if None in found:
+                new = list({w for w, e in zip(words, found, strict=True) if e is None})
+                places = np.array([xxhash.xxh64_intdigest(f, 3) for w in new for f in feature_names(w)], np.uint64) % np.uint64(BUCKETS)
+                fresh = dict(zip(new, (self.field.weights[places.astype(np.int64)].reshape(-1, FEATURES).sum(axis=1) + self.field.bias).tolist(), strict=True))
+                found = [fresh[w] if e is None else e for w, e in zip(words, found, strict=True)]
+                if len(self.known) + len(fresh) > REMEMBERED:
+                    self.known = {}
+                self.known.update(fresh)
+            parts.append(np.array(found))
+        return np.concatenate(parts)
 
     def log_odds(self, texts: list[str]) -> list[np.ndarray]:
         """Log odds of the toxic tag's marginal at every word of every text."""
-        e = [self.emissions(words_of(t)) for t in texts]
-        out: list[np.ndarray] = [np.empty(0)] * len(texts)
-        for d, odds in chains(e.__getitem__, np.array([len(x) for x in e]), self.field.pairs):
-            out[d] = odds
-        return out
+        return marginal_odds([self.emissions(t) for t in texts], self.field.pairs)
 
 
 def spans_of(text: str, odds: np.ndarray, cutoff: float = SPAN_CUTOFF) -> list[dict]:
@@ -337,32 +419,49 @@ def spans_of(text: str, odds: np.ndarray, cutoff: float = SPAN_CUTOFF) -> list[d
     return [{"start": x["start"], "end": x["end"], "p": x["p"]} for x in out]
 
 
-def tag(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
-    """docs plus ``_tox``, a struct of score and spans; one pass, no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(field)  # of fixed size
-    n = len(docs.columns)
-    out = docs.select("*", F.lit(None).cast("struct<score:double,spans:array<struct<start:int,end:int,p:double>>>").alias("_tox"))
+_TAGGED = "struct<score:double,spans:array<struct<start:int,end:int,p:double>>>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def tagged(spark: SparkSession, field: Field, text: "F.Column") -> "F.Column":
+    """A struct of score and spans of a text column."""
+    shared = spark.sparkContext.broadcast(field)  # of fixed size
+    kind = pa.struct([("score", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())])))])
+
+    @F.arrow_udf(_TAGGED)
+    def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tagger = Tagger(shared.value)
+        for array in arrays:
+            out = []
+            for texts in array_slices(array, SLICE):
+                out += [{"score": tagger.field.score(o), "spans": spans_of(t, o)} for t, o in zip(texts, tagger.log_odds(texts), strict=True)]
+            yield pa.array(out, kind)
+
+    return run(F.coalesce(text, F.lit("")))
+
+
+def scored(spark: SparkSession, field: Field, text: "F.Column") -> "F.Column":
+    """The score of a text column alone."""
+    shared = spark.sparkContext.broadcast(field)  # of fixed size
+
+    @F.arrow_udf("double")
+    def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tagger = Tagger(shared.value)
-        for batch in chain.from_iterable(byte_slices(b, text_col, 8 << 20) for b in batches):
-            texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            found = [{"score": tagger.field.score(o), "spans": spans_of(t, o)} for t, o in zip(texts, tagger.log_odds(texts), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(found, batch.schema.field(n).type)], names=batch.schema.names)
+        for array in arrays:
+            yield pa.array([tagger.field.score(o) for texts in array_slices(array, SLICE) for o in tagger.log_odds(texts)], pa.float64())
 
-    return out.mapInArrow(run, out.schema)
+    return run(F.coalesce(text, F.lit("")))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """Per row of docs: doc_id, held_out, score, predicted, spans."""
     held = crc_mod("doc_id", 4) == 2
     slim = docs.select("doc_id", "text")
-    field = fit_hashed(sample_rows(slim, labels, ~held))
-    return tag(slim, field).select("doc_id", held.alias("held_out"), F.col("_tox.score").alias("score"), (F.col("_tox.score") >= cutoff).cast("int").alias("predicted"), F.col("_tox.spans").alias("spans"))
+    field = learn(slim, labels, ~held)
+    out = slim.select("doc_id", held.alias("held_out"), tagged(docs.sparkSession, field, F.col("text")).alias("_tox"))
+    return out.select("doc_id", "held_out", F.col("_tox.score").alias("score"), (F.col("_tox.score") >= cutoff).cast("int").alias("predicted"), F.col("_tox.spans").alias("spans"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """docs without those that the field rejects; it learns as score_documents does."""
-    field = fit_hashed(sample_rows(docs.select("doc_id", "text"), labels, crc_mod("doc_id", 4) != 2))
-    columns = docs.columns
-    return tag(docs, field).filter(F.col("_tox.score") < cutoff).select(*columns)
+    field = learn(docs.select("doc_id", "text"), labels, crc_mod("doc_id", 4) != 2)
+    return docs.filter(scored(docs.sparkSession, field, F.col("text")) < cutoff)
