@@ -19,6 +19,7 @@ an empty table gives an empty result; other columns, whatever their names, are n
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -181,8 +182,8 @@ def _count(words, text) -> "F.Column":
 
 
 def _apart(phrase: str) -> str:
-    """A run of words as it stands in the words set apart: a blank on either side of each."""
-    return phrase.replace(" ", "  ")
+    """A run of words as it stands in the words set apart: a blank on either side of each (blanks at its ends stay single)."""
+    return re.sub(r"(?<=\S) (?=\S)", "  ", phrase)
 
 
 _DETECTION = "struct<priority:int,lo:int,hi:int,label:string,confidence:double>"
