@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
+from .physical import small
 
 #: Fixed values.
 K1, B = 1.5, 0.75
@@ -49,18 +50,23 @@ def hits(queries: DataFrame, entries: DataFrame, by: list[str], query_keys: list
     """(query_id, by, ref, score) of entries that hold a query token; repeats in the query count.
 
     queries: query_id, query and the columns of query_keys, a part of by that they are limited to.
+    Tokens nobody asked for go before any shuffle if the queries are few, by a broadcast of their
+    vocabulary; else by a join on tokens. Refs are unique within by.
     """
     if not by:  # one corpus: a constant key
         one = hits(queries, entries.withColumn("_all", F.lit(0)), ["_all"], query_keys)
         return one.drop("_all")
     q = queries.select("query_id", *query_keys, F.explode(tokenize(F.col("query"))).alias("token")).groupBy("query_id", *query_keys, "token").agg(F.count("*").alias("qf"))
     asked = q.select(*query_keys, "token").distinct()
-    tf = term_freq(entries, by)
-    wanted = tf.join(asked, [*query_keys, "token"], "left_semi")
+    few = small(queries)
+    listed = entries.select(*by, "ref", tokenize(F.col("text")).alias("_tokens")).select(*by, "ref", F.size("_tokens").cast("long").alias("len"), "_tokens")
+    held = listed.select(*by, "ref", "len", F.explode("_tokens").alias("token")).join(F.broadcast(asked) if few else asked, [*query_keys, "token"], "left_semi")
+    wanted = held.groupBy(*by, "ref", "len", "token").agg(F.count("*").alias("tf"))
     df = wanted.groupBy(*by, "token").agg(F.count("*").alias("df"))
-    joined = wanted.join(df, [*by, "token"]).join(lengths(tf, by), [*by, "ref"]).join(stats(entries, tf, by), by)
+    sums = listed.groupBy(*by).agg(F.count("*").alias("n"), (F.sum("len") / F.count("*")).alias("avgdl"))
+    joined = wanted.join(F.broadcast(df) if few and by == ["_all"] else df, [*by, "token"]).join(F.broadcast(sums) if by == ["_all"] else sums, by)  # one row of sums, or one a key
     part = idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    scored = joined.select(*by, "ref", "token", part.alias("part")).join(q, [*query_keys, "token"])
+    scored = joined.select(*by, "ref", "token", part.alias("part")).join(F.broadcast(q) if few else q, [*query_keys, "token"])
     return scored.groupBy("query_id", *by, "ref").agg(F.sum(F.col("part") * F.col("qf")).alias("score"))
 
 
@@ -79,8 +85,20 @@ def rare_terms(entries: DataFrame, by: list[str], share: float = 0.5) -> DataFra
 
 def answerable(queries: DataFrame, entries: DataFrame, by: list[str]) -> DataFrame:
     """(query_id, by, token): distinct query tokens that some entry holds."""
+    return term_marks(queries, entries, None, by).select("query_id", *by, "token")
+
+
+def term_marks(queries: DataFrame, entries: DataFrame, picked: DataFrame | None, by: list[str]) -> DataFrame:
+    """(query_id, by, token, held): distinct query tokens that some entry holds, and whether a picked one does."""
     q = queries.select("query_id", *by, F.explode(F.array_distinct(tokenize(F.col("query")))).alias("token"))
-    return q.join(term_freq(entries, by).select(*by, "token").distinct(), [*by, "token"], "left_semi").select("query_id", *by, "token")
+    held = entries.select(*by, "ref", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("token"))
+    asked = q.select(*by, "token").distinct()
+    held = held.join(F.broadcast(asked) if small(queries) else asked, [*by, "token"], "left_semi")
+    found = q.join(held, [*by, "token"])
+    if picked is not None:
+        found = found.join(picked.select("query_id", *by, "ref").distinct().withColumn("_c", F.lit(True)), ["query_id", *by, "ref"], "left")
+    mark = F.bool_or(F.col("_c").isNotNull()) if picked is not None else F.lit(False)
+    return found.groupBy("query_id", *by, "token").agg(mark.alias("held"))
 
 
 def term_report(queries: DataFrame, entries: DataFrame, picked: DataFrame, by: list[str]) -> DataFrame:
@@ -88,9 +106,8 @@ def term_report(queries: DataFrame, entries: DataFrame, picked: DataFrame, by: l
 
     picked: query_id, by, ref. Coverage is 1 where no query token is in the corpus.
     """
-    able = answerable(queries, entries, by)
-    held = tokens(entries, by).join(picked, [*by, "ref"]).select("query_id", *by, "token").distinct().withColumn("_c", F.lit(True))
-    marked = able.join(held, ["query_id", *by, "token"], "left")
-    sums = marked.groupBy("query_id", *by).agg(F.array_sort(F.collect_list("token")).alias("answerable"), F.array_sort(F.collect_list(F.when(F.col("_c").isNull(), F.col("token")))).alias("missing"), (F.count("_c") / F.count("*")).alias("coverage"))
+    marked = term_marks(queries, entries, picked, by)
+    listed = lambda keep: F.array_sort(F.collect_list(F.when(keep, F.col("token"))))
+    sums = marked.groupBy("query_id", *by).agg(listed(F.lit(True)).alias("answerable"), listed(~F.col("held")).alias("missing"), (F.count_if("held") / F.count("*")).alias("coverage"))
     none = F.array().cast("array<string>")
     return queries.select("query_id", *by).join(sums, ["query_id", *by], "left").select("query_id", *by, F.coalesce("answerable", none).alias("answerable"), F.coalesce("missing", none).alias("missing"), F.coalesce("coverage", F.lit(1.0)).alias("coverage"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .physical import settle
+
 
 def top_left(l: Column, t: Column, r: Column, b: Column, origin: Column, height: Column) -> Column:  # noqa: E741
     """A box as (l, t, r, b) from the top left; null if it has no area or the page height is needed but unknown."""
@@ -19,20 +21,20 @@ def page_list(provs: Column) -> Column:
     return F.array_distinct(F.array_compact(F.transform(provs, lambda p: p["page_no"])))
 
 
-def reading_order(edges: DataFrame, roots: DataFrame, depth: int = 100) -> DataFrame:
+def reading_order(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(tree, node, ord): pre-order of trees, from edges (tree, parent, child, pos) and roots (tree, node).
 
-    One join a level, at most depth levels; a node met twice keeps its first place.
+    One join a level, whose result is written, so that no level is computed twice. A path that
+    comes back to one of its own nodes ends there, which also ends cycles; of several paths to a
+    node the first one in order counts.
     """
-    path = F.array(F.lit(0))
-    level = roots.select("tree", "node", path.alias("path"))
-    found = level
-    for _ in range(depth):
-        nxt = level.join(edges, (level["tree"] == edges["tree"]) & (level["node"] == edges["parent"])).select(level["tree"], F.col("child").alias("node"), F.concat("path", F.array(F.col("pos").cast("int"))).alias("path"))
-        if nxt.isEmpty():
+    found = level = settle(roots.select("tree", "node", F.array(F.lit(0)).alias("path"), F.array(F.col("node")).alias("chain")))
+    below = edges.select("tree", F.col("parent").alias("node"), "child", F.col("pos").cast("int").alias("pos"))
+    while True:
+        nxt = level.join(below, ["tree", "node"]).filter(~F.array_contains("chain", F.col("child")))
+        level = settle(nxt.select("tree", F.col("child").alias("node"), F.concat("path", F.array("pos")).alias("path"), F.concat("chain", F.array("child")).alias("chain")))
+        if level.isEmpty():
             break
-        found, level = found.union(nxt), nxt
-    from pyspark.sql import Window
-
+        found = found.union(level)
     once = found.groupBy("tree", "node").agg(F.min("path").alias("path"))
     return once.select("tree", "node", (F.row_number().over(Window.partitionBy("tree").orderBy("path")) - 1).alias("ord"))

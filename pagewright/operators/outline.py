@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clip, human_size
 
 #: Fixed values.
 GIST_LIMIT, MIN_KEPT, MARKER_COST, BUDGET = 140, 8, 60, 6000
+MARKER = "  […  %d section(s) omitted from this map — ask to widen the outline …]"
 
 
 def lines(units: DataFrame, visited: DataFrame | None = None) -> DataFrame:
@@ -30,47 +31,67 @@ def lines(units: DataFrame, visited: DataFrame | None = None) -> DataFrame:
     return u.select("doc_id", "ord", "ref", lvl.alias("lvl"), with_gist(rich).alias("rich"), with_gist(bare).alias("plain"), shows.alias("shows"))
 
 
-def _fit(rows: DataFrame, budget: int) -> DataFrame:
-    """(doc_id, text, refs, complete) of the fullest map of ``line`` that fits.
+def _fitted(lines: "F.Column", line: str, budget: int) -> "F.Column":
+    """(text, refs, complete) of the fullest map of ``line`` that fits, from a document's ordered lines.
 
     Deepest levels go first while eight units stay; then the middle is left out, taking
-    lines from head and tail in turn.
+    lines from head and tail in turn until the next one would not leave room for the marker.
     """
-    per_level = rows.groupBy("doc_id", "lvl").agg(F.count("*").alias("n"), F.sum(F.length("line") + 1).alias("c"))
-    up = Window.partitionBy("doc_id").orderBy("lvl")
-    whole = Window.partitionBy("doc_id")
-    cut = per_level.select("doc_id", "lvl", F.sum("n").over(up).alias("n"), (F.sum("c").over(up) - 1).alias("size"), F.max("lvl").over(whole).alias("deepest"))
-    # a cutoff is open if it is the deepest level or leaves eight units
-    cut = cut.withColumn("open", (F.col("lvl") == F.col("deepest")) | (F.col("n") >= MIN_KEPT))
-    best = cut.filter("open").groupBy("doc_id").agg(F.max(F.when(F.col("size") <= budget, F.col("lvl"))).alias("fits"), F.min("lvl").alias("least"), F.max("deepest").alias("deepest"))
-    kept = rows.join(best, "doc_id").filter(F.col("lvl") <= F.coalesce("fits", "least")).withColumn("_n", F.count("*").over(whole))
-    i = F.row_number().over(whole.orderBy("ord")) - 1
-    kept = kept.withColumn("_i", i)
-    back = F.col("_n") - 1 - F.col("_i")
-    kept = kept.withColumn("_turn", F.when(F.col("_i") <= back, 2 * F.col("_i")).otherwise(2 * back + 1))
-    before = F.coalesce(F.sum(F.length("line") + 1).over(whole.orderBy("_turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    stop = kept.withColumn("_bad", F.col("fits").isNull() & (before + F.length("line") + MARKER_COST > budget))
-    stop = stop.withColumn("_cut", F.min(F.when(F.col("_bad"), F.col("_turn"))).over(whole))
-    shown = stop.filter("_cut is null or _turn < _cut")
-    docs = stop.groupBy("doc_id").agg(F.max("_n").alias("_n"), F.max("fits").alias("fits"), F.max("deepest").alias("deepest"))
-    part = F.struct("ord", "line", "ref", (F.col("_turn") % 2 == 0).alias("head"))
-    made = docs.join(shown.groupBy("doc_id").agg(F.array_sort(F.collect_list(part)).alias("_p")), "doc_id", "left").withColumn("_p", F.coalesce("_p", F.expr("array()").cast("array<struct<ord:int,line:string,ref:string,head:boolean>>")))
-    omitted = F.col("_n") - F.size("_p")
-    marker = F.format_string("  […  %d section(s) omitted from this map — ask to widen the outline …]", omitted)
-    get = lambda flag: F.transform(F.filter("_p", lambda s: s["head"] == flag), lambda s: s["line"])
-    all_lines = F.transform("_p", lambda s: s["line"])
-    text = F.array_join(F.when(omitted > 0, F.concat(get(True), F.array(marker), get(False))).otherwise(all_lines), "\n")
-    # what was elided on fewer levels but shown whole counts as complete
-    complete = F.when(F.col("fits").isNotNull(), F.col("fits") == F.col("deepest")).otherwise(omitted == 0)
-    return made.select("doc_id", text.alias("text"), F.transform("_p", lambda s: s["ref"]).alias("refs"), complete.alias("complete"))
+    # each step binds its result in an array of one, so that it is computed once
+    bind = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    cost = lambda rows: F.aggregate(rows, F.lit(0).cast("long"), lambda n, s: n + F.length(s[line]) + 1)
+    levels = F.array_distinct(F.transform(lines, lambda s: s["lvl"]))
+
+    def per_level(lvl):
+        kept = F.filter(lines, lambda s: s["lvl"] <= lvl)
+        return F.struct(lvl.alias("lvl"), F.size(kept).alias("n"), (cost(kept) - 1).alias("size"))
+
+    def cut(sizes):
+        deepest = F.array_max(F.transform(sizes, lambda c: c["lvl"]))
+        # a cutoff is open if it is the deepest level or leaves eight units
+        free = F.filter(sizes, lambda c: (c["lvl"] == deepest) | (c["n"] >= MIN_KEPT))
+        fits = F.array_max(F.transform(F.filter(free, lambda c: c["size"] <= budget), lambda c: c["lvl"]))
+        return F.struct(deepest.alias("deepest"), fits.alias("fits"), F.array_min(F.transform(free, lambda c: c["lvl"])).alias("least"))
+
+    def shown(c):
+        kept = F.filter(lines, lambda s: s["lvl"] <= F.coalesce(c["fits"], c["least"]))
+        return bind(kept, lambda k: F.struct(c.alias("c"), k.alias("kept"), F.when(c["fits"].isNotNull(), F.size(k)).otherwise(turns(k)).alias("took")))
+
+    def turns(kept):
+        def take(state, turn):
+            at = F.when(turn % 2 == 0, (turn / 2).cast("int")).otherwise(F.size(kept) - 1 - ((turn - 1) / 2).cast("int"))
+            n = F.length(F.get(kept, at)[line])
+            going = state["going"] & (state["used"] + n + MARKER_COST <= budget)
+            return F.struct((state["took"] + going.cast("int")).alias("took"), (state["used"] + F.when(going, n + 1).otherwise(0)).alias("used"), going.alias("going"))
+
+        start = F.struct(F.lit(0).alias("took"), F.lit(0).alias("used"), F.lit(True).alias("going"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(kept) - 1), start, take)["took"]
+
+    def made(x):
+        n, took = F.size(x["kept"]), x["took"]
+        tail = (took / 2).cast("int")
+        head = F.when(took == n, n).otherwise(took - tail)
+        rows = F.concat(F.slice(x["kept"], F.lit(1), head), F.when(took == n, F.slice(x["kept"], 1, 0)).otherwise(F.slice(x["kept"], n - tail + 1, tail)))
+        marker = F.format_string(MARKER, n - took)
+        text = lambda part: F.transform(part, lambda s: s[line])
+        body = F.when(took == n, text(rows)).otherwise(F.concat(text(F.slice(rows, F.lit(1), head)), F.array(marker), text(F.slice(rows, head + 1, tail))))
+        # what was left out on fewer levels but shown whole counts as complete
+        complete = F.when(x["c"]["fits"].isNotNull(), x["c"]["fits"] == x["c"]["deepest"]).otherwise(took == n)
+        return F.struct(F.array_join(body, "\n").alias("text"), F.transform(rows, lambda s: s["ref"]).alias("refs"), complete.alias("complete"))
+
+    return bind(F.transform(levels, per_level), lambda sizes: bind(cut(sizes), lambda c: bind(shown(c), made)))
 
 
 def render(units: DataFrame, budget: int = BUDGET, visited: DataFrame | None = None) -> DataFrame:
-    """(doc_id, text, refs, complete): with leads, or without if that shows more units."""
-    rows = lines(units, visited)
-    rich = _fit(rows.withColumn("line", F.col("rich")), budget)
-    plain = _fit(rows.withColumn("line", F.col("plain")), budget).select("doc_id", F.struct("text", "refs", "complete").alias("_plain"))
-    some = rows.groupBy("doc_id").agg(F.bool_or("shows").alias("_some"))
-    both = rich.join(plain, "doc_id").join(some, "doc_id")
-    use = ~F.col("complete") & F.col("_some") & (F.size("_plain.refs") > F.size("refs"))
-    return both.select("doc_id", *[F.when(use, F.col(f"_plain.{c}")).otherwise(F.col(c)).alias(c) for c in ("text", "refs", "complete")])
+    """(doc_id, text, refs, complete): with leads, or without if that shows more units.
+
+    A document's lines are gathered once; both maps are folds over them.
+    """
+    one = F.struct("ord", "lvl", "ref", "rich", "plain")
+    rows = lines(units, visited).groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("_lines"), F.bool_or("shows").alias("_some"))
+    both = rows.select("doc_id", "_some", "_lines", _fitted(F.col("_lines"), "rich", budget).alias("_rich"))
+    # without leads nothing changes where none is shown or all fits
+    again = F.when(F.col("_some") & ~F.col("_rich.complete"), _fitted(F.col("_lines"), "plain", budget))
+    both = both.select("doc_id", "_rich", again.alias("_plain"))
+    best = F.when(F.size("_plain.refs") > F.size("_rich.refs"), F.col("_plain")).otherwise(F.col("_rich"))
+    return both.select("doc_id", best.alias("_best")).select("doc_id", "_best.text", "_best.refs", "_best.complete")

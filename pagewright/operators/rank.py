@@ -21,6 +21,16 @@ def views(units: DataFrame) -> DataFrame:
     return view("text", F.col("text")).unionByName(view("heading", F.col("title"))).unionByName(third)
 
 
+def view_counts(units: DataFrame) -> DataFrame:
+    """(doc_id, view, n): entries of every view that has any."""
+    return views(units).groupBy("doc_id", "view").agg(F.count("*").alias("n"))
+
+
+def uses_enrichment(units: DataFrame) -> DataFrame:
+    """(doc_id, uses_enrichment): whether any unit has a summary or keywords."""
+    return units.groupBy("doc_id").agg(F.bool_or((F.col("summary") != "") | (F.size("keywords") > 0)).alias("uses_enrichment"))
+
+
 def view_hits(queries: DataFrame, units: DataFrame) -> DataFrame:
     """Ranked hits of every view; queries are limited to their doc_id."""
     return bm25.ranked(bm25.hits(queries, views(units), ["doc_id", "view"], ["doc_id"]), ["doc_id", "view"])

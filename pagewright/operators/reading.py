@@ -8,7 +8,6 @@ after each, so that no model call is repeated when an executor is lost.
 from __future__ import annotations
 
 import json
-import tempfile
 import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -23,6 +22,7 @@ from ..functions.replies import READING, SELECTION, TERMS, clip_titles
 from ..functions.text import collapse, grounded
 from ..sources.chat import message
 from . import bm25, outline, pack, rank, segment
+from .physical import settle
 
 NOTE = "struct<ref:string,title:string,finding:string>"
 SPAN = "struct<ref:string,node_id:string,page_no:int,char_start:int,char_end:int,bbox:struct<l:double,t:double,r:double,b:double>>"
@@ -52,12 +52,25 @@ class Limits:
     absent_votes: int = 2
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Written to the checkpoint folder of the session; one of our own only if none is set (tests)."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="runs-"))
-    return df.checkpoint()
+@dataclass(frozen=True)
+class Index:
+    """What runs read of documents: units, and the located elements of each unit."""
+
+    units: DataFrame
+    members: DataFrame
+
+
+def index(elements: DataFrame, documents: DataFrame | None = None, furniture: bool = False) -> Index:
+    """Units and their members, written, of every document of elements; documents (doc_id, name, page_nos) may name them and list their pages.
+
+    With furniture, running heads and footers are read too.
+    """
+    if furniture:
+        elements = elements.withColumn("is_furniture", F.lit(False))
+    units = settle(segment.prune_leads(segment.build_units(elements, documents)))
+    places = units.select("doc_id", F.col("ref").alias("unit"), F.explode("element_refs").alias("ref"))
+    parts = pack.located(elements).select("doc_id", "ref", "ord", "text", "at")
+    return Index(units, settle(places.join(parts, ["doc_id", "ref"]).select("doc_id", "unit", "ord", "ref", "text", "at")))
 
 
 def ask(rows: DataFrame, model, kind: dict | None, max_tokens: int | None = None) -> DataFrame:
@@ -288,23 +301,22 @@ def _public(steps: Column) -> Column:
     return F.transform(steps, lambda s, i: F.struct((i + 1).alias("index"), *[s[c].alias(c) for c in same], F.lit(False).alias("revisited"), s["fallback"].alias("fallback")))
 
 
-def read(runs: DataFrame, elements: DataFrame, model, limits: Limits = Limits(), furniture: bool = False) -> DataFrame:
+def read(runs: DataFrame, source: DataFrame | Index, model, limits: Limits = Limits(), furniture: bool = False, documents: DataFrame | None = None) -> DataFrame:
     """Traces of runs (run_id, doc_id, query): run_id, doc_id, query, status, answer, converged, steps, notes, calls, elapsed_s, error.
 
-    run_id must be unique; a column name of runs is the title of documents read whole (else Document).
-    elapsed_s is the time of the batch. With furniture, running heads and footers are read too. Documents without readable elements end as not_in_document; a run
-    whose reads all fail in one round ends as failed with the first error. The deadline holds
+    source is an index, or elements from which one is built for the documents asked about. run_id
+    must be unique; a column name of runs is the title of documents read whole (else Document).
+    elapsed_s is the time of the batch. Documents without readable elements end as not_in_document;
+    a run whose reads all fail in one round ends as failed with the first error. The deadline holds
     for the batch. Every round ranks the units of open runs anew.
     """
     began = time.monotonic()
     base = runs.select("run_id", F.col("doc_id").alias("source_id"), (F.coalesce("name", F.lit("Document")) if "name" in runs.columns else F.lit("Document")).alias("name"), F.coalesce("query", F.lit("")).alias("query"))
-    if furniture:
-        elements = elements.withColumn("is_furniture", F.lit(False))
-    texts = elements.join(base.select(F.col("source_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    own = segment.prune_leads(segment.build_units(texts)).withColumnRenamed("doc_id", "source_id")
-    units = settle(base.select("source_id", F.col("run_id").alias("doc_id")).join(own, "source_id"))
-    places = units.select("source_id", "doc_id", F.col("ref").alias("unit"), F.explode("element_refs").alias("ref"))
-    members = settle(places.join(pack.located(texts).select(F.col("doc_id").alias("source_id"), "ref", "ord", "text", "at"), ["source_id", "ref"]).select("doc_id", "unit", "ord", "ref", "text", "at"))
+    if not isinstance(source, Index):
+        source = index(source.join(base.select(F.col("source_id").alias("doc_id")).distinct(), "doc_id", "left_semi"), documents, furniture)
+    asked = base.select("source_id", F.col("run_id").alias("doc_id"))
+    own = lambda table: settle(asked.join(table.withColumnRenamed("doc_id", "source_id"), "source_id"))
+    units, members = own(source.units), own(source.members).drop("source_id")
     state = settle(_start(base, units, limits))
     direct = state.filter("route = 'direct'")
     done = [state.filter("route = 'empty'"), direct if direct.isEmpty() else settle(_direct(direct, members, model, limits))]

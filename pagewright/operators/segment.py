@@ -50,31 +50,70 @@ def section_units(elements: DataFrame) -> DataFrame:
     return units.select("doc_id", order.alias("ord"), "ref", F.lit("section").alias("kind"), F.when(title == "", "(untitled)").otherwise(title).alias("title"), F.when(F.col("_head.is_section"), F.col("_head.level")).alias("level"), "page_no", "pages", "char_len", "summary", "keywords", "lead", "element_refs", "text")
 
 
-def page_units(elements: DataFrame) -> DataFrame:
-    """One row for every page that has readable elements; an element is on all of its pages."""
+def node_id(ref) -> "F.Column":
+    return F.concat(F.lit("elem::"), ref)
+
+
+def page_ref(page_no) -> "F.Column":
+    return F.concat(F.lit("#/pages/"), page_no.cast("string"))
+
+
+def page_node_id(page_no) -> "F.Column":
+    return F.concat(F.lit("page::"), page_no.cast("string"))
+
+
+def page_units(elements: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """One row for every page that has readable elements; an element is on all of its pages.
+
+    With documents (doc_id, page_nos) the pages are those listed there, which may have no
+    element; they keep their places in the order. Else they are those of the elements.
+    """
     on = readable(elements).withColumn("_page", F.explode("pages"))
-    units = on.groupBy("doc_id", "_page").agg(F.slice(F.filter(_ordered("text"), lambda t: t != ""), 1, 3).alias("_first"), *_aggregates())
-    # pages without readable elements keep their place in the order
-    all_pages = elements.select("doc_id", F.explode("pages").alias("_page")).distinct()
-    places = all_pages.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("_page")) - 1)
+    units = on.groupBy("doc_id", "_page").agg(F.slice(_ordered("text"), 1, 3).alias("_first"), *_aggregates())
+    listed = elements.select("doc_id", F.explode("pages").alias("_page")) if documents is None else documents.select("doc_id", F.explode("page_nos").alias("_page"))
+    places = listed.distinct().withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("_page")) - 1)
     title = clip(F.array_join("_first", " "), TITLE_LIMIT)
     units = units.drop("ref", "lead", "page_no").join(places, ["doc_id", "_page"])
-    return units.select("doc_id", "ord", F.concat(F.lit("#/pages/"), F.col("_page").cast("string")).alias("ref"), F.lit("page").alias("kind"), F.when(title == "", F.concat(F.lit("Page "), F.col("_page").cast("string"))).otherwise(title).alias("title"), F.lit(None).cast("int").alias("level"), F.col("_page").alias("page_no"), F.array("_page").alias("pages"), "char_len", "summary", "keywords", F.lit("").alias("lead"), "element_refs", "text")
+    return units.select("doc_id", "ord", page_ref(F.col("_page")).alias("ref"), F.lit("page").alias("kind"), F.when(title == "", F.concat(F.lit("Page "), F.col("_page").cast("string"))).otherwise(title).alias("title"), F.lit(None).cast("int").alias("level"), F.col("_page").alias("page_no"), F.array("_page").alias("pages"), "char_len", "summary", "keywords", F.lit("").alias("lead"), "element_refs", "text")
 
 
-def document_units(elements: DataFrame, name: str = "Document") -> DataFrame:
+def document_units(elements: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """One row a document, titled by its name (documents: doc_id, name) or ``Document``."""
     units = readable(elements).groupBy("doc_id").agg(*_aggregates())
-    return units.select("doc_id", F.lit(0).alias("ord"), "ref", F.lit("document").alias("kind"), F.lit(name).alias("title"), F.lit(None).cast("int").alias("level"), "page_no", "pages", "char_len", "summary", "keywords", F.lit("").alias("lead"), "element_refs", "text")
+    name = F.lit("Document")
+    if documents is not None:
+        units = units.join(documents.select("doc_id", F.col("name").alias("_name")), "doc_id", "left")
+        name = F.coalesce(F.nullif("_name", F.lit("")), name)
+    return units.select("doc_id", F.lit(0).alias("ord"), "ref", F.lit("document").alias("kind"), name.alias("title"), F.lit(None).cast("int").alias("level"), "page_no", "pages", "char_len", "summary", "keywords", "lead", "element_refs", "text")
+
+
+def build_units(elements: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """Sections if a document has any heading, else pages if any listed page has readable elements, else the document.
+
+    documents (doc_id, name, page_nos), one row each, gives names and the list of pages.
+    """
+    pages = F.when(F.col("is_furniture"), F.array().cast("array<int>")).otherwise(F.col("pages"))
+    kinds = elements.groupBy("doc_id").agg(F.bool_or("is_section").alias("_s"), F.array_distinct(F.flatten(F.collect_set(pages))).alias("_p"))
+    if documents is not None:
+        kinds = kinds.join(documents.select("doc_id", "page_nos"), "doc_id", "left").withColumn("_p", F.array_intersect("_p", F.coalesce("page_nos", F.array().cast("array<int>"))))
+    kinds = kinds.select("doc_id", F.when(F.col("_s"), "section").when(F.size("_p") > 0, "page").otherwise("document").alias("_kind"))
+    pick = lambda kind: elements.join(kinds.filter(F.col("_kind") == kind).select("doc_id"), "doc_id", "left_semi")
+    return section_units(pick("section")).unionByName(page_units(pick("page"), documents)).unionByName(document_units(pick("document"), documents))
+
+
+def refs(units: DataFrame) -> DataFrame:
+    """(doc_id, refs): the refs of every document's units, in order."""
+    return units.groupBy("doc_id").agg(_ordered("ref").alias("refs"))
+
+
+def unit(units: DataFrame, ref: str) -> DataFrame:
+    """The unit with a ref, of every document that has one."""
+    return units.filter(F.col("ref") == ref)
 
 
-def build_units(elements: DataFrame) -> DataFrame:
-    """Sections if a document has any heading, else pages if any page has text, else the document."""
-    kinds = elements.groupBy("doc_id").agg(F.bool_or("is_section").alias("_s"), F.bool_or(~F.col("is_furniture") & (F.size("pages") > 0)).alias("_p"))
-    pick = lambda condition: elements.join(kinds.filter(condition).select("doc_id"), "doc_id", "left_semi")
-    sections = section_units(pick("_s"))
-    pages = page_units(pick("not _s and _p"))
-    whole = document_units(pick("not _s and not _p"))
-    return sections.unionByName(pages).unionByName(whole)
+def unit_kind(units: DataFrame) -> DataFrame:
+    """(doc_id, kind, n_units, total_chars) of documents with units: the kind is that of the first one."""
+    return units.groupBy("doc_id").agg(F.min_by("kind", "ord").alias("kind"), F.count("*").alias("n_units"), F.sum("char_len").alias("total_chars"))
 
 
 def prune_leads(units: DataFrame) -> DataFrame:
@@ -90,10 +129,19 @@ def prune_leads(units: DataFrame) -> DataFrame:
 
 
 def children_of(units: DataFrame) -> DataFrame:
-    """(doc_id, parent, child): units after a levelled unit, up to one without level or of its level or above."""
-    u = units.select("doc_id", "ord", "ref", "level")
-    later = u.select("doc_id", F.col("ord").alias("_o"), F.col("level").alias("_l"), F.col("ref").alias("child"))
-    p = u.filter("level is not null").select("doc_id", F.col("ord").alias("_p"), F.col("level").alias("_pl"), F.col("ref").alias("parent"))
-    after = p.join(later, "doc_id").filter("_o > _p")
-    stop = F.min(F.when(F.col("_l").isNull() | (F.col("_l") <= F.col("_pl")), F.col("_o"))).over(Window.partitionBy("doc_id", "_p"))
-    return after.withColumn("_stop", stop).filter("_stop is null or _o < _stop").select("doc_id", "parent", "child")
+    """(doc_id, parent, child): units after a levelled unit, up to one without level or of its level or above.
+
+    One pass over a document's units keeps the chain of open parents; a pair is made for each
+    parent that a unit has, and no other pair is looked at.
+    """
+    one = F.struct("ord", "ref", "level")
+    listed = units.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("_u"))
+    chain, pairs = "array<struct<ref:string,level:int>>", "array<struct<parent:string,child:string>>"
+    start = F.struct(F.array().cast(chain).alias("open"), F.array().cast(pairs).alias("out"))
+
+    def step(state, u):
+        above = F.filter(state["open"], lambda p: p["level"] < u["level"])  # none if the unit has no level
+        own = F.when(u["level"].isNull(), F.array().cast(chain)).otherwise(F.concat(above, F.array(F.struct(u["ref"].alias("ref"), u["level"].alias("level")))))
+        return F.struct(own.alias("open"), F.concat(state["out"], F.transform(above, lambda p: F.struct(p["ref"].alias("parent"), u["ref"].alias("child")))).alias("out"))
+
+    return listed.select("doc_id", F.explode(F.aggregate("_u", start, step)["out"]).alias("p")).select("doc_id", "p.parent", "p.child")

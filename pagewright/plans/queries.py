@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clip, collapse, flatten, grounded, html_escape, human_size, opening, tokenize
-from ..operators import bm25, geometry, outline, pack, rank, report, segment
+from ..operators import bm25, geometry, outline, pack, rank, reading, report, segment
+from ..operators.physical import small, spread
 from ..sources import docjson, tables
+from ..sources.chat import RuleChat
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +31,11 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _docs(s, d):
+    """doc_id and text, on all cores."""
+    return spread(_t(s, d, "documents").select("doc_id", "text"))
+
+
 def _turns(s, d):
     return tables.from_turns(_t(s, d, "conversations"))
 
@@ -102,22 +109,22 @@ _DOCS = "dc AS (SELECT doc_id AS ref, text FROM documents), bq AS (SELECT item_i
 
 @query(f"SELECT doc_id, array_to_string({_tok('text')}, ' ') AS tokens FROM documents")
 def tokenize_documents(s, d):
-    return _t(s, d, "documents").select("doc_id", F.array_join(tokenize(F.col("text")), " ").alias("tokens"))
+    return _docs(s, d).select("doc_id", F.array_join(tokenize(F.col("text")), " ").alias("tokens"))
 
 
 @query(f"SELECT doc_id, {_flat('text')} AS flat FROM documents")
 def flatten_text(s, d):
-    return _t(s, d, "documents").select("doc_id", flatten(F.col("text")).alias("flat"))
+    return _docs(s, d).select("doc_id", flatten(F.col("text")).alias("flat"))
 
 
 @query(f"SELECT doc_id, {_CLIP.format(f='f', n=120)} AS clipped FROM (SELECT doc_id, {_collapse('text')} AS f FROM documents)")
 def clip_text(s, d):
-    return _t(s, d, "documents").select("doc_id", clip(F.col("text")).alias("clipped"))
+    return _docs(s, d).select("doc_id", clip(F.col("text")).alias("clipped"))
 
 
 @query(f"SELECT doc_id, {_OPEN} AS opening FROM (SELECT doc_id, {_collapse('text')} AS f FROM documents)")
 def lead_opening(s, d):
-    return _t(s, d, "documents").select("doc_id", opening(F.col("text")).alias("opening"))
+    return _docs(s, d).select("doc_id", opening(F.col("text")).alias("opening"))
 
 
 @query("SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS escaped FROM pages")
@@ -132,20 +139,25 @@ def human_sizes(s, d):
 
 @query(f"SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains({_flat('d.text')}, {_flat('b.text')}) AND {_flat('b.text')} <> ''")
 def grounding(s, d):
-    """Passages that occur in documents; candidates share tokens, passages of two distinct tokens or fewer meet all documents."""
-    docs = _t(s, d, "documents").select("doc_id", flatten(F.col("text")).alias("flat"), F.array_distinct(tokenize(F.col("text"))).alias("tk"))
-    tok = docs.select("doc_id", F.explode("tk").alias("token"))
-    b = _t(s, d, "benchmark").select("item_id", flatten(F.col("text")).alias("quote"), F.array_distinct(tokenize(F.col("text"))).alias("tk"))
-    # such passages may stand inside longer words alone
-    short = b.filter((F.size("tk") <= 2) & (F.col("quote") != "")).select("item_id", "quote")
-    direct = docs.select("doc_id", "flat").join(short, F.contains("flat", "quote")).select("item_id", "doc_id")
-    b = b.filter(F.size("tk") > 2)
-    words = b.select("item_id", F.explode("tk").alias("token"))
-    need = words.groupBy("item_id").agg(F.count("*").alias("need"))
-    # first and last words of a quote may be cut out of longer words; all others must occur
-    both = words.join(tok, "token").groupBy("item_id", "doc_id").agg(F.count("*").alias("got")).join(need, "item_id").filter("got >= need - 2")
-    found = both.join(docs.select("doc_id", "flat"), "doc_id").join(b.select("item_id", "quote"), "item_id")
-    return found.filter((F.col("quote") != "") & F.contains("flat", "quote")).select("item_id", "doc_id").unionAll(direct)
+    """Passages that occur in documents.
+
+    The first and last token of a quote may be cut out of longer words; all tokens between stand in
+    every text that holds it. So the rarest of these finds the candidates, which are compared. Quotes
+    of fewer than three tokens, part of the stated query set, meet all documents.
+    """
+    docs = _docs(s, d)
+    b = _t(s, d, "benchmark").select("item_id", flatten(F.col("text")).alias("quote"), tokenize(F.col("text")).alias("tk")).filter("quote <> ''")
+    long = b.filter(F.size("tk") > 2).select("item_id", "quote", F.array_distinct(F.slice("tk", F.lit(2), F.size("tk") - 2)).alias("inner"))
+    words = long.select("item_id", F.explode("inner").alias("token"))
+    asked, few = words.select("token").distinct(), small(b)
+    held = docs.select("doc_id", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("token")).join(F.broadcast(asked) if few else asked, "token", "left_semi")
+    df = held.groupBy("token").agg(F.count("*").alias("df"))
+    # a token that no document holds has no row and finds nothing
+    rarest = words.join(df, "token", "left").groupBy("item_id").agg(F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), "token")).alias("token"))
+    pairs = held.join(F.broadcast(rarest) if few else rarest, "token").select("item_id", "doc_id")
+    found = pairs.join(docs, "doc_id").join(long.select("item_id", "quote"), "item_id").filter(F.contains(flatten(F.col("text")), F.col("quote"))).select("item_id", "doc_id")
+    short = b.filter(F.size("tk") <= 2).select("item_id", "quote")
+    return found.unionAll(docs.select("doc_id", flatten(F.col("text")).alias("flat")).join(short, F.contains("flat", "quote")).select("item_id", "doc_id"))
 
 
 # --- BM25 ---
@@ -158,7 +170,7 @@ def term_freq(s, d):
 
 @query(f"SELECT token, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_tok('text')}) AS token FROM documents) GROUP BY token")
 def doc_freq(s, d):
-    return bm25.doc_freq(bm25.term_freq(_t(s, d, "documents").select(F.col("doc_id").alias("ref"), "text"), []), [])
+    return bm25.doc_freq(bm25.term_freq(_docs(s, d).select(F.col("doc_id").alias("ref"), "text"), []), [])
 
 
 @query(f"WITH {_EL} SELECT doc_id, count(*) AS n, round(sum(len({_tok('text')})) / count(*), 9) AS avgdl FROM el GROUP BY doc_id")
@@ -173,7 +185,7 @@ def bm25_score(s, d):
 
 
 def _corpus_hits(s, d):
-    docs = _t(s, d, "documents").select(F.col("doc_id").alias("ref"), "text")
+    docs = _docs(s, d).select(F.col("doc_id").alias("ref"), "text")
     return bm25.hits(_t(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), docs, [], [])
 
 
@@ -230,17 +242,20 @@ def unit_build(s, d):
     return _units(s, d).select("doc_id", "ord", "ref", "title", "level", "page_no", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"), "char_len", "lead", "text")
 
 
-@query(rf"""WITH {_EL}, p AS (SELECT doc_id, page, CAST(sum(length(text)) AS BIGINT) AS char_len, list(text ORDER BY ord) FILTER (WHERE text <> '') AS tx FROM el GROUP BY ALL)
+@query(rf"""WITH {_EL}, p AS (SELECT doc_id, page, CAST(sum(length(text)) AS BIGINT) AS char_len, list(text ORDER BY ord) AS tx FROM el GROUP BY ALL)
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page) - 1 AS INT) AS ord, '#/pages/' || page AS ref, CASE WHEN f = '' THEN 'Page ' || page ELSE {_CLIP.format(f='f', n=120)} END AS title, char_len
 FROM (SELECT *, {_collapse("array_to_string(tx[1:3], ' ')")} AS f FROM p)""")
 def page_units(s, d):
     return segment.page_units(_turns(s, d)).select("doc_id", "ord", "ref", "title", "char_len")
 
 
-@query(f"""WITH {_UN}, x AS (SELECT p.doc_id, p.ref AS parent, c.ref AS child, c.ord, min(CASE WHEN c.level IS NULL OR c.level <= p.level THEN c.ord END) OVER (PARTITION BY p.doc_id, p.ord) AS stop
+@query(f"""WITH {_UN.replace("un AS (", "un1 AS (")}, un AS (SELECT doc_id, ord, ref, CASE WHEN char_len % 11 > 0 THEN 1 + char_len % 4 END AS level FROM un1),
+x AS (SELECT p.doc_id, p.ref AS parent, c.ref AS child, c.ord, min(CASE WHEN c.level IS NULL OR c.level <= p.level THEN c.ord END) OVER (PARTITION BY p.doc_id, p.ord) AS stop
 FROM un p JOIN un c ON p.doc_id = c.doc_id AND c.ord > p.ord WHERE p.level IS NOT NULL) SELECT doc_id, parent, child FROM x WHERE stop IS NULL OR ord < stop""")
 def children_of(s, d):
-    return segment.children_of(_units(s, d))
+    """Units below units, with levels made of their sizes, so that they nest four deep and some have none."""
+    level = F.when(F.col("char_len") % 11 > 0, (1 + F.col("char_len") % 4).cast("int"))
+    return segment.children_of(_units(s, d).withColumn("level", level))
 
 
 _PRUNED = f"""ld AS (SELECT doc_id, ref, list_distinct({_tok('lead')}) AS tk, {_tok('title')} AS own FROM un WHERE lead <> ''), ln0 AS (SELECT doc_id, count(*) AS n FROM ld GROUP BY 1),
@@ -319,6 +334,58 @@ def json_tables(s, d):
     return docjson.elements(docjson.project(trees)).select("doc_id", F.col("text").alias("html"))
 
 
+def _plain_trees(s, d):
+    """Conversations as flat trees: with headings, with pages alone, or without either (by id modulo 3); pages 1, 2 and 7 are listed."""
+    c, kind = _t(s, d, "conversations"), F.col("conv_id") % 3
+    path = F.concat(F.lit("#/texts/"), F.col("turn").cast("string"))
+    prov = F.when(kind < 2, F.array(F.struct((F.floor(F.col("turn") / 4) + 1).alias("page_no"))))
+    item = F.struct(path.alias("self_ref"), F.when((kind == 0) & (F.col("role") == "user"), "section_header").otherwise("text").alias("label"), "text", prov.alias("prov"), F.when((kind == 1) & (F.col("role") == "system"), "furniture").alias("content_layer"))
+    rows = c.groupBy("conv_id").agg(_ordered_list(item).alias("texts"), _ordered_list(_ref(path)).alias("roots"))
+    size = F.struct(F.struct(F.lit(100.0).alias("height")).alias("size"))
+    pages = F.create_map(*[x for n in ("7", "2", "1") for x in (F.lit(n), size.getField("size"))])
+    tree = F.struct(F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("talk "), F.col("conv_id").cast("string"))).alias("name"), F.struct(F.col("roots").alias("children")).alias("body"), "texts", pages.alias("pages"))
+    return rows.select(F.col("conv_id").alias("doc_id"), F.to_json(tree).alias("document_json"))
+
+
+@query(rf"""WITH el AS (SELECT conv_id AS doc_id, turn AS ord, '#/texts/' || turn AS ref, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS text, conv_id % 3 = 0 AND role = 'user' AS sec,
+ CASE WHEN conv_id % 3 < 2 THEN turn // 4 + 1 END AS page, conv_id % 3 = 1 AND coalesce(role = 'system', false) AS fur FROM conversations),
+kd AS (SELECT doc_id, CASE WHEN bool_or(sec) THEN 'section' WHEN bool_or(NOT fur AND page IN (1, 2, 7)) THEN 'page' ELSE 'document' END AS kind FROM el GROUP BY doc_id),
+rd AS (SELECT el.*, kind, {_collapse('text')} AS f, sum(CAST(sec AS INT)) OVER (PARTITION BY doc_id ORDER BY ord) AS sn FROM el JOIN kd USING (doc_id) WHERE NOT fur),
+op AS (SELECT *, {_OPEN} AS opening FROM rd),
+se AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sn) - 1 AS ord, arg_min(ref, ord) AS ref, 'section' AS kind, arg_min(f, ord) AS f, '(untitled)' AS other, sum(length(text)) AS char_len, coalesce(arg_min(opening, ord) FILTER (WHERE NOT sec AND opening <> ''), '') AS lead FROM op WHERE kind = 'section' GROUP BY doc_id, sn),
+pg AS (SELECT doc_id, CASE page WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 2 END AS ord, '#/pages/' || page AS ref, 'page' AS kind, {_collapse("array_to_string(list(text ORDER BY ord)[1:3], ' ')")} AS f, 'Page ' || page AS other, sum(length(text)) AS char_len, '' AS lead FROM op WHERE kind = 'page' AND page IN (1, 2, 7) GROUP BY doc_id, page),
+dc AS (SELECT doc_id, 0 AS ord, arg_min(ref, ord) AS ref, 'document' AS kind, CASE WHEN doc_id % 2 = 0 THEN 'talk ' || doc_id ELSE 'Document' END AS f, '' AS other, sum(length(text)) AS char_len, coalesce(arg_min(opening, ord) FILTER (WHERE opening <> ''), '') AS lead FROM op WHERE kind = 'document' GROUP BY doc_id)
+SELECT doc_id, CAST(ord AS INT) AS ord, ref, kind, CASE WHEN f = '' THEN other ELSE {_CLIP.format(f='f', n=120)} END AS title, CAST(char_len AS BIGINT) AS char_len, lead FROM (SELECT * FROM se UNION ALL SELECT * FROM pg UNION ALL SELECT * FROM dc)""")
+def unit_kinds(s, d):
+    """Units of trees that fall back from sections to pages to the whole document."""
+    projected = docjson.project(_plain_trees(s, d))
+    units = segment.build_units(docjson.elements(projected), projected)
+    return units.select("doc_id", "ord", "ref", "kind", "title", "char_len", "lead")
+
+
+@query(r"""WITH t AS (SELECT conv_id AS doc_id, turn, coalesce(text, '') AS raw, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS text FROM conversations),
+g AS (SELECT doc_id, '#/groups/0' AS ref, regexp_replace(coalesce(string_agg(raw, ' ' ORDER BY turn) FILTER (WHERE raw <> ''), ''), '^\s+|\s+$', '', 'g') AS text, count(*) AS n_provs, '' AS summary, '' AS keywords FROM t WHERE turn < 3 GROUP BY doc_id),
+p AS (SELECT doc_id, '#/pictures/0' AS ref, concat_ws(' ', '[figure]', max(text) FILTER (WHERE turn = 3 AND text <> ''), max(text) FILTER (WHERE turn = 4 AND text <> '')) AS text, 1 AS n_provs, 'seen' AS summary, 'a,b' AS keywords FROM t GROUP BY doc_id)
+SELECT doc_id, ref, text, CAST(n_provs AS INT) AS n_provs, summary, keywords FROM (SELECT * FROM g UNION ALL SELECT * FROM p UNION ALL SELECT doc_id, '#/texts/' || turn, text, 1, '', '' FROM t WHERE turn IN (3, 4) OR turn > 5)""")
+def json_groups(s, d):
+    """Inline runs folded into their group; a picture with caption, annotation and summary, whose own child is hidden."""
+    c = _t(s, d, "conversations")
+    path = F.concat(F.lit("#/texts/"), F.col("turn").cast("string"))
+    item = F.struct(path.alias("self_ref"), F.lit("text").alias("label"), "text", F.array(F.struct(F.lit(1).alias("page_no"), F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(1.0)).alias("bbox"))).alias("prov"))
+    rows = c.groupBy("conv_id").agg(_ordered_list(item).alias("texts"), _ordered_list(F.when(F.col("turn") > 5, _ref(path))).alias("roots"), F.max(F.when(F.col("turn") == 4, F.col("text"))).alias("note"))
+    ref = lambda p: _ref(F.lit(p))
+    group = F.struct(F.lit("#/groups/0").alias("self_ref"), F.lit("inline").alias("label"), F.array(*[ref(f"#/texts/{k}") for k in range(3)]).alias("children"))
+    meta = F.struct(F.struct(F.lit(" seen ").alias("text")).alias("summary"), F.struct(F.array(F.lit(" a"), F.lit(" "), F.lit("b")).alias("values")).alias("keywords"))
+    picture = F.struct(
+        F.lit("#/pictures/0").alias("self_ref"), F.lit("picture").alias("label"), F.array(ref("#/texts/3")).alias("captions"), F.array(ref("#/texts/5")).alias("children"),
+        F.array(F.struct(F.col("note").alias("text"))).alias("annotations"), meta.alias("meta"), F.array(F.struct(F.lit(1).alias("page_no"))).alias("prov"),
+    )
+    body = F.struct(F.concat(F.array(ref("#/groups/0"), ref("#/pictures/0")), F.filter("roots", lambda x: x.isNotNull())).alias("children"))
+    trees = rows.select(F.col("conv_id").alias("doc_id"), F.to_json(F.struct(body.alias("body"), "texts", F.array(group).alias("groups"), F.array(picture).alias("pictures"))).alias("document_json"))
+    found = docjson.elements(docjson.project(trees))
+    return found.select("doc_id", "ref", "text", F.size("provs").alias("n_provs"), "summary", F.array_join("keywords", ",").alias("keywords"))
+
+
 # --- ranking ---
 
 _FUSED = f"""{_UN}, {_ASK}, {_VIEWS}, {_bm25('vw', 'doc_id, view, ', 'ask')},
@@ -346,6 +413,28 @@ def confidence_gate(s, d):
     return out.select("query_id", "n", F.round(margin, 9).alias("margin"), F.round("coverage", 9).alias("coverage"), "confident", "fanout")
 
 
+_ENRICHED = f"""{_UN}, eu AS (SELECT *, CASE WHEN char_len % 3 = 0 THEN lead ELSE '' END AS summary, CASE WHEN char_len % 4 = 1 THEN string_split(title, ' ')[1:3] ELSE [] END AS kw FROM un),
+vw AS (SELECT doc_id, 'text' AS view, ref, text FROM un UNION ALL SELECT doc_id, 'heading', ref, title FROM un UNION ALL SELECT doc_id, 'summary', ref, summary || ' ' || array_to_string(kw, ' ') FROM eu WHERE summary <> '' OR len(kw) > 0),
+ask0 AS (SELECT conv_id, arg_max(text, turn) AS query, coalesce(arg_min(text, turn), '') AS expansion FROM conversations GROUP BY conv_id),
+ask AS (SELECT conv_id * 2 AS query_id, conv_id AS doc_id, query FROM ask0 UNION ALL SELECT conv_id * 2 + 1, conv_id, expansion FROM ask0 WHERE expansion <> ''), {_bm25('vw', 'doc_id, view, ', 'ask')},
+pos AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id, view ORDER BY round(score, 10) DESC, ref) AS position FROM hits),
+fu AS (SELECT query_id // 2 AS query_id, doc_id, ref, sum(CASE WHEN view = 'summary' THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN query_id % 2 = 1 THEN 0.25::DOUBLE ELSE 1.0::DOUBLE END / (60 + position)) AS score,
+  'lexical match (' || coalesce(string_agg(view || ' rank ' || position, ', ' ORDER BY CASE view WHEN 'text' THEN 0 WHEN 'heading' THEN 1 ELSE 2 END) FILTER (WHERE query_id % 2 = 0), '') || ')' AS rationale FROM pos WHERE ref <> '#/texts/0' GROUP BY 1, 2, 3),
+sl AS (SELECT f.*, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY round(score, 10) DESC, un.ord) AS place FROM fu f JOIN un USING (doc_id, ref))"""
+
+
+@query(f"WITH {_ENRICHED} SELECT query_id, doc_id, place, ref, round(score, 9) AS score, rationale FROM sl WHERE place <= 8")
+def enriched_fusion(s, d):
+    """Shortlists of units with summaries and keywords, for questions with expansions, without the first unit, which was visited."""
+    units = _units(s, d)
+    keywords = F.when(F.col("char_len") % 4 == 1, F.slice(F.split("title", " "), 1, 3)).otherwise(F.array().cast("array<string>"))
+    units = units.withColumn("summary", F.when(F.col("char_len") % 3 == 0, F.col("lead")).otherwise("")).withColumn("keywords", keywords)
+    first = _t(s, d, "conversations").groupBy(F.col("conv_id").alias("query_id")).agg(F.coalesce(F.min_by("text", "turn"), F.lit("")).alias("expansion"))
+    asked = _asked(s, d).join(first, "query_id")
+    visited = asked.select("query_id", "doc_id", F.lit("#/texts/0").alias("ref"))
+    return rank.fuse(asked, units, visited=visited).select("query_id", "doc_id", "place", "ref", F.round("score", 9).alias("score"), "rationale")
+
+
 # --- packing and maps ---
 
 _CUT = "chr(10) || chr(10) || '[… excerpt truncated to fit the context budget …]'"
@@ -385,7 +474,20 @@ def outline_lines(s, d):
     return outline.lines(_units(s, d)).select("doc_id", "ref", "rich", "plain")
 
 
-@query()
+@query(f"""WITH {_UN.replace("un AS (", "un1 AS (")}, {_PRUNED.replace("FROM un ", "FROM un1 ")}, un AS (SELECT un1.* EXCLUDE (lead), CASE WHEN k.ref IS NULL THEN '' ELSE lead END AS lead FROM un1 LEFT JOIN keep k USING (doc_id, ref)), {_LINES},
+vr AS (SELECT doc_id, ord, lvl, 'rich' AS var, line || CASE WHEN lead = '' THEN '' ELSE chr(10) || repeat('  ', CAST(lvl AS BIGINT)) || '    ↳ ' || lead END AS line, lead <> '' AS shows FROM ol UNION ALL SELECT doc_id, ord, lvl, 'plain', line, false FROM ol),
+lc AS (SELECT var, doc_id, lvl, count(*) AS n, sum(length(line) + 1) AS c FROM vr GROUP BY ALL),
+cm AS (SELECT *, sum(n) OVER w AS upto, sum(c) OVER w - 1 AS size, max(lvl) OVER (PARTITION BY var, doc_id) AS deepest FROM lc WINDOW w AS (PARTITION BY var, doc_id ORDER BY lvl)),
+bs AS (SELECT var, doc_id, max(lvl) FILTER (WHERE size <= 400) AS fits, min(lvl) AS least, max(deepest) AS deepest FROM cm WHERE lvl = deepest OR upto >= 8 GROUP BY ALL),
+kp AS (SELECT vr.*, fits, deepest, count(*) OVER (PARTITION BY var, doc_id) AS n, row_number() OVER (PARTITION BY var, doc_id ORDER BY ord) - 1 AS i FROM vr JOIN bs USING (var, doc_id) WHERE lvl <= coalesce(fits, least)),
+tn AS (SELECT *, CASE WHEN i <= n - 1 - i THEN 2 * i ELSE 2 * (n - 1 - i) + 1 END AS turn FROM kp),
+bf AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY var, doc_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM tn),
+ct AS (SELECT *, coalesce(turn < min(CASE WHEN fits IS NULL AND used + length(line) + 60 > 400 THEN turn END) OVER (PARTITION BY var, doc_id), true) AS kept FROM bf),
+mp AS (SELECT var, doc_id, count(*) FILTER (WHERE kept) AS shown, max(n) AS n, max(fits) AS fits, max(deepest) AS deepest, string_agg(line, chr(10) ORDER BY ord) FILTER (WHERE kept AND turn % 2 = 0) AS head, string_agg(line, chr(10) ORDER BY ord) FILTER (WHERE kept AND turn % 2 = 1) AS tail FROM ct GROUP BY ALL),
+mt AS (SELECT var, doc_id, shown, CASE WHEN fits IS NOT NULL THEN fits = deepest ELSE shown = n END AS complete, concat_ws(chr(10), head, CASE WHEN shown < n THEN '  […  ' || (n - shown) || ' section(s) omitted from this map — ask to widen the outline …]' END, tail) AS text FROM mp),
+sm AS (SELECT doc_id, bool_or(shows) AS leads FROM vr GROUP BY doc_id),
+us AS (SELECT r.doc_id, NOT r.complete AND leads AND p.shown > r.shown AS u FROM mt r JOIN mt p ON r.doc_id = p.doc_id AND r.var = 'rich' AND p.var = 'plain' JOIN sm ON sm.doc_id = r.doc_id)
+SELECT doc_id, text, CAST(shown AS INT) AS n_shown, complete FROM mt JOIN us USING (doc_id) WHERE (var = 'plain') = u""")
 def outline_render(s, d):
     return outline.render(segment.prune_leads(_units(s, d)), budget=400).select("doc_id", "text", F.size("refs").alias("n_shown"), "complete")
 
@@ -428,6 +530,7 @@ tr AS (SELECT run_id, arg_min(status, k) FILTER (WHERE status IS NOT NULL) AS st
 
 
 def _steps(s, d):
+    """Turns as reads; a turn without a text is none."""
     from pyspark.sql import Window
 
     c = _t(s, d, "conversations").filter("text is not null")
@@ -447,6 +550,39 @@ def flat_view(s, d):
     return report.flat_answers(report.rollup(_steps(s, d))).select("run_id", "status", "answer")
 
 
+# --- reading runs with a model that goes by words ---
+
+
+@query(f"""WITH {_EL}, tx AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY ord) FILTER (WHERE text <> '') AS t, arg_min(ref, ord) AS ref, list_sort(list_distinct(list(page) FILTER (WHERE text <> ''))) AS pages FROM el GROUP BY doc_id),
+v AS (SELECT *, contains(coalesce(t, ''), 'ment') AS hit, contains(coalesce(t, ''), 'der') AS no FROM tx)
+SELECT doc_id, CASE WHEN hit THEN 'answered' WHEN no THEN 'not_in_document' ELSE 'insufficient_evidence' END AS status, CASE WHEN hit THEN 'found' ELSE 'not here' END AS answer, CAST(1 AS INT) AS calls, hit AS converged, ref, CAST(length(coalesce(t, '')) AS INT) AS excerpt_chars, array_to_string(pages, ',') AS pages, CASE WHEN hit THEN true END AS grounded FROM v""")
+def reading_direct(s, d):
+    """Conversations short enough to be read whole: one call each."""
+    runs = _asked(s, d).select(F.col("query_id").alias("run_id"), "doc_id", "query")
+    got = reading.read(runs, _turns(s, d), RuleChat(("ment",), ("der",)), reading.Limits(direct_chars=100_000, excerpt_chars=100_000, deadline_s=36_000))
+    step = F.get("steps", F.lit(0))
+    return got.select("doc_id", "status", "answer", "calls", "converged", step["ref"].alias("ref"), step["excerpt_chars"].alias("excerpt_chars"), F.array_join(step["pages"].cast("array<string>"), ",").alias("pages"), step["grounded"].alias("grounded"))
+
+
+@query("""WITH u AS (SELECT n_regionkey AS doc_id, n_name, '#/texts/' || 2 * n_nationkey AS ref, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i, count(*) OVER (PARTITION BY n_regionkey) AS n FROM nation),
+a AS (SELECT doc_id, max(ref) FILTER (WHERE n_name = 'NATION_7') AS hit, count(*) FILTER (WHERE i <= 2 AND (contains(n_name, 'NATION_1') OR contains(n_name, 'NATION_6'))) AS votes, string_agg(ref, ',' ORDER BY i) FILTER (WHERE i <= 2) AS two FROM u GROUP BY doc_id)
+SELECT CAST(doc_id AS INT) AS doc_id, CASE WHEN hit IS NOT NULL THEN 'answered' WHEN votes >= 2 THEN 'not_in_document' ELSE 'budget_exhausted' END AS status, CASE WHEN hit IS NOT NULL THEN 'found' ELSE 'composed' END AS answer,
+CAST(CASE WHEN hit IS NOT NULL THEN 1 ELSE 7 END AS INT) AS calls, hit IS NOT NULL AS converged, coalesce(hit, two) AS refs, CAST(CASE WHEN hit IS NOT NULL THEN 0 ELSE 2 END AS INT) AS n_notes FROM a""")
+def reading_loop(s, d):
+    """Regions as documents with a section a nation, read part by part: one is found by its words, one is voted out, the others run out of steps.
+
+    Where no word of the question occurs a round asks for words, has a part chosen and reads it; two notes are composed.
+    """
+    n = _t(s, d, "nation").select(F.col("n_regionkey").cast("int").alias("doc_id"), (2 * F.col("n_nationkey")).alias("i"), "n_name")
+    text = F.concat(F.col("n_name"), F.lit(" is told of here"))
+    row = lambda at, text, label: n.select("doc_id", at.alias("i"), text.alias("text"), F.lit(label).alias("label"))
+    both = row(F.col("i"), F.col("n_name"), "section_header").unionAll(row(F.col("i") + 1, text, "text"))
+    el = tables.elements(both, F.col("doc_id"), F.col("i"), F.col("text"), F.col("label"), F.when(F.col("label") == "section_header", 1), F.lit(False), F.lit(1))
+    runs = n.select("doc_id").distinct().select(F.col("doc_id").alias("run_id"), "doc_id", F.lit("number 7").alias("query"))
+    got = reading.read(runs, el, RuleChat(("NATION_7",), ("NATION_1", "NATION_6")), reading.Limits(max_steps=2, direct_chars=0, deadline_s=36_000))
+    return got.select("doc_id", "status", "answer", "calls", "converged", F.array_join(F.transform("steps", lambda x: x["ref"]), ",").alias("refs"), F.size("notes").alias("n_notes"))
+
+
 @query("SELECT sha256(text) AS digest, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1")
 def digest_dedupe(s, d):
     """Equal texts by digest, the smallest id standing for them."""
@@ -455,5 +591,5 @@ def digest_dedupe(s, d):
 
 @query(f"SELECT doc_id, array_to_string(list_distinct(list_sort({_tok('text')})), ' ') AS x FROM documents WHERE false UNION ALL SELECT doc_id, string_agg(token, ' ' ORDER BY i) AS x FROM (SELECT doc_id, token, min(i) AS i FROM (SELECT doc_id, unnest({_tok('text')}) AS token, generate_subscripts({_tok('text')}, 1) AS i FROM documents) GROUP BY 1, 2) GROUP BY doc_id")
 def ordered_distinct(s, d):
-    """Distinct tokens in the order first seen."""
-    return _t(s, d, "documents").select("doc_id", F.array_join(F.array_distinct(tokenize(F.col("text"))), " ").alias("x")).filter("x <> ''")
+    """Distinct tokens in the order first seen, of documents that have any."""
+    return _docs(s, d).select("doc_id", F.array_join(F.array_distinct(tokenize(F.col("text"))), " ").alias("x")).filter("x <> ''")
