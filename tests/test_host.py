@@ -91,16 +91,24 @@ def test_availability(spark):
     assert not asyncio.run(host.Runner(spark, command.chat(command.parser().parse_args(["ask", "--document", "x", "--query", "q", "--base-url", "http://127.0.0.1:9"]))).health())
 
 
-def test_the_last_documents_stay_parsed(spark):
-    r = host.Runner(spark, _model(), cache_size=2)
+def test_the_last_documents_stay_indexed(spark):
+    shelf = host.Shelf(spark, size=2)
     a, b, c = (document("T", str(i)) for i in range(3))
-    first = r._elements(a)[1]
-    r._elements(b)
-    assert r._elements(a)[1] is first
-    r._elements(c)  # b goes, it was used least lately
-    assert len(r._cache) == 2 and r._elements(a)[1] is first
-    r.close()
-    assert not r._cache and not first.is_cached
+    _, first = shelf.take(a)
+    shelf.take(b)
+    assert shelf.take(a)[1] is first
+    shelf.take(c)  # b goes, it was used least lately
+    assert len(shelf.held) == 2 and shelf.take(a)[1] is first
+    shelf.clear()
+    assert not shelf.held and not first.units.is_cached and not first.members.is_cached
+
+
+def test_public_names():
+    import pagewright
+
+    assert len(pagewright.__all__) >= 37 and all(getattr(pagewright, name) is not None for name in pagewright.__all__)
+    with pytest.raises(AttributeError):
+        pagewright.nothing
 
 
 def test_a_table_of_questions(spark, tmp_path):
