@@ -12,7 +12,10 @@ BROADCAST_BYTES = 8 << 20
 
 def small(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
     """Whether the optimizer's estimate of a table's size, which joins and unknown sources only raise, is below most."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= most
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= most
+    except ValueError:  # more digits than Python reads, after many joins
+        return False
 
 
 def spread(df: DataFrame) -> DataFrame:

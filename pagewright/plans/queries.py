@@ -567,11 +567,13 @@ def reading_direct(s, d):
 @query("""WITH u AS (SELECT n_regionkey AS doc_id, n_name, '#/texts/' || 2 * n_nationkey AS ref, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i, count(*) OVER (PARTITION BY n_regionkey) AS n FROM nation),
 a AS (SELECT doc_id, max(ref) FILTER (WHERE n_name = 'NATION_7') AS hit, count(*) FILTER (WHERE i <= 2 AND (contains(n_name, 'NATION_1') OR contains(n_name, 'NATION_6'))) AS votes, string_agg(ref, ',' ORDER BY i) FILTER (WHERE i <= 2) AS two FROM u GROUP BY doc_id)
 SELECT CAST(doc_id AS INT) AS doc_id, CASE WHEN hit IS NOT NULL THEN 'answered' WHEN votes >= 2 THEN 'not_in_document' ELSE 'budget_exhausted' END AS status, CASE WHEN hit IS NOT NULL THEN 'found' ELSE 'composed' END AS answer,
-CAST(CASE WHEN hit IS NOT NULL THEN 1 ELSE 7 END AS INT) AS calls, hit IS NOT NULL AS converged, coalesce(hit, two) AS refs, CAST(CASE WHEN hit IS NOT NULL THEN 0 ELSE 2 END AS INT) AS n_notes FROM a""")
+CAST(CASE WHEN hit IS NOT NULL THEN 1 ELSE 6 END AS INT) AS calls, hit IS NOT NULL AS converged, coalesce(hit, two) AS refs, CAST(CASE WHEN hit IS NOT NULL THEN 0 ELSE 2 END AS INT) AS n_notes FROM a""")
 def reading_loop(s, d):
     """Regions as documents with a section a nation, read part by part: one is found by its words, one is voted out, the others run out of steps.
 
-    Where no word of the question occurs a round asks for words, has a part chosen and reads it; two notes are composed.
+    Where no word of the question occurs the first round asks for words, has a part chosen and reads it. The second asks
+    again and reads the part that the words of the note ("not here") find; with one step left it has none chosen. Two notes
+    are composed: six calls.
     """
     n = _t(s, d, "nation").select(F.col("n_regionkey").cast("int").alias("doc_id"), (2 * F.col("n_nationkey")).alias("i"), "n_name")
     text = F.concat(F.col("n_name"), F.lit(" is told of here"))
