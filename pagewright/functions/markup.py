@@ -29,32 +29,47 @@ def _cell(cell: Column) -> Column:
     return F.concat(F.lit("<"), tag, span("rowspan", tall), span("colspan", wide), F.lit(">"), html_escape(cell["text"]), F.lit("</"), tag, F.lit(">"))
 
 
-def _laid_out(caption: Column, height: Column, width: Column, cells: Column) -> Column:
-    """Every place of the grid in order: nothing under another cell's span, the cell that starts there, or a hole."""
+def _bind(value: Column, use) -> Column:
+    """use(value), the value computed once: it is the only element that a lambda runs over."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _firsts(cells: Column) -> Column:
+    """The first cell at every place, standing for all that start there: where it begins and ends, and its HTML."""
     starts = F.transform(cells, lambda c: F.struct(c["y"], c["x"]))
-    # the first cell at a place stands for all that start there
-    firsts = F.filter(cells, lambda c, i: F.array_position(starts, F.struct(c["y"], c["x"])) == i + 1)
+    first = lambda s: F.filter(cells, lambda c, i: F.array_position(s, F.struct(c["y"], c["x"])) == i + 1)
+    made = lambda c: F.struct(c["y"].alias("y"), c["x"].alias("x"), _end(c, "y", "bottom").alias("bottom"), _end(c, "x", "right").alias("right"), _cell(c).alias("html"))
+    return _bind(starts, lambda s: F.transform(first(s), made))
+
+
+def _laid_out(caption: Column, shape: Column, firsts: Column) -> Column:
+    """Every place of the grid in order: nothing under another cell's span, the cell that starts there, or a hole."""
 
     def place(y: Column, x: Column) -> Column:
         starts_here = lambda c: (c["y"] == y) & (c["x"] == x)
-        covers = lambda c: (c["y"] <= y) & (y < _end(c, "y", "bottom")) & (c["x"] <= x) & (x < _end(c, "x", "right"))
+        covers = lambda c: (c["y"] <= y) & (y < c["bottom"]) & (c["x"] <= x) & (x < c["right"])
         own = F.get(F.filter(firsts, starts_here), F.lit(0))
-        return F.when(F.exists(firsts, lambda c: covers(c) & ~starts_here(c)), "").otherwise(F.coalesce(_cell(own), F.lit("<td></td>")))
+        return F.when(F.exists(firsts, lambda c: covers(c) & ~starts_here(c)), "").otherwise(F.coalesce(own["html"], F.lit("<td></td>")))
 
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    rows = F.transform(upto(height), lambda y: F.concat(F.lit("<tr>"), F.array_join(F.transform(upto(width), lambda x: place(y, x)), ""), F.lit("</tr>")))
+    rows = F.transform(upto(shape["height"]), lambda y: F.concat(F.lit("<tr>"), F.array_join(F.transform(upto(shape["width"]), lambda x: place(y, x)), ""), F.lit("</tr>")))
     head = F.when(caption == "", "").otherwise(F.concat(F.lit("<caption>"), html_escape(caption), F.lit("</caption>")))
     return F.concat(F.lit("<table>"), head, F.array_join(rows, ""), F.lit("</table>"))
 
 
+def _shape(grid: Column) -> Column:
+    """Height and width as given, or as far as any cell reaches."""
+    reach = lambda end: F.coalesce(F.array_max(F.transform(grid["cells"], lambda c: c[end])), F.lit(0))
+    unknown = (grid["height"] <= 0) | (grid["width"] <= 0)
+    sides = (("height", "bottom"), ("width", "right"))
+    return F.struct(*[F.when(unknown, F.greatest(grid[side], reach(end))).otherwise(grid[side]).alias(side) for side, end in sides])
+
+
 def table(grid: Column) -> Column:
     """A grid as HTML; a table without cells, or with too many places, as plain text."""
     cells, caption = grid["cells"], grid["caption"]
-    reach = lambda end: F.coalesce(F.array_max(F.transform(cells, lambda c: c[end])), F.lit(0))
-    unknown = (grid["height"] <= 0) | (grid["width"] <= 0)
-    height = F.when(unknown, F.greatest(grid["height"], reach("bottom"))).otherwise(grid["height"])
-    width = F.when(unknown, F.greatest(grid["width"], reach("right"))).otherwise(grid["width"])
     listed = F.array_join(F.transform(F.slice(cells, 1, MAX_CELLS), lambda c: c["text"]), " | ")
     plain = F.trim(F.concat(F.lit(TOO_LARGE + " "), caption, F.lit(" "), listed))
     empty = F.trim(F.concat(F.lit("[table] "), caption))
-    return F.when(F.size(cells) == 0, empty).when(height.cast("long") * width.cast("long") > MAX_CELLS, plain).otherwise(_laid_out(caption, height, width, cells))
+    html = lambda shape: F.when(shape["height"].cast("long") * shape["width"].cast("long") > MAX_CELLS, plain).otherwise(_bind(_firsts(cells), lambda f: _laid_out(caption, shape, f)))
+    return F.when(F.size(cells) == 0, empty).otherwise(_bind(_shape(grid), html))
