@@ -75,5 +75,19 @@ it AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
 FROM d LEFT JOIN h USING (r) LEFT JOIN it USING (r)
+""",
+    "op6_mixing": rf"""
+WITH b AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT) AS salt FROM documents),
+t AS (SELECT source, sum(size) AS source_size, greatest(1, CAST(ceil(count(*) / {mixing.BLOCK_ROWS}.0) AS BIGINT)) AS parts FROM b GROUP BY source),
+w AS (SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS DOUBLE) AS w, CAST(source_size AS DOUBLE) * 3 AS cap FROM t),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level FROM w
+      WINDOW before AS (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT level AS final FROM l WHERE level * w <= cap ORDER BY cap / w, source IS NULL, source LIMIT 1),
+g AS (SELECT source, source_size, parts, CASE WHEN level * w > cap THEN cap ELSE w * (SELECT final FROM f) END AS target,
+        CAST('0x' || substr(md5(coalesce(source, '') || CASE WHEN source IS NULL THEN '1' ELSE '0' END || '7'), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM l),
+p AS (SELECT b.*, g.source_size, g.target, g.u, g.parts, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || salt || '|7'), 1, 15) AS BIGINT) AS h, bin(size + 1) AS bits FROM b JOIN g ON b.source IS NOT DISTINCT FROM g.source),
+r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS step, row_number() OVER (PARTITION BY source ORDER BY
+        length(bits) * 4 + CASE substr(bits || '00', 2, 2) WHEN '00' THEN 0 WHEN '01' THEN 1 WHEN '10' THEN 2 ELSE 3 END DESC, (h >> 8) % parts, size DESC, h, doc_id) AS k FROM p)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, CAST(floor(u + k * step) - floor(u + (k - 1) * step) AS BIGINT) * size AS taken, source, CAST(floor(u + k * step) - floor(u + (k - 1) * step) AS BIGINT) AS copies FROM r
 """,
 }
