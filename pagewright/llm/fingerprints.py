@@ -14,15 +14,16 @@ an estimate of the overlap of their phrases.
 
 Defined cases: null and empty texts have the empty fingerprint (zeros), which is like
 itself (1) and unlike others (0); equal texts have equal fingerprints. Documents are
-ordered by id, nulls first, and rows of one id by a hash of the text; a single document
-follows itself; an empty table gives an empty result.
+ordered by id, nulls first, and rows of one id by a hash of the text, also between
+partitions, so that one id may hold any number of rows; a single document
+follows itself; an empty table gives an empty result. A text is parsed whole, in memory of
+some 40 bytes for each of its own; other columns are not carried along.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ from .common import materialize
 BINS, LEVELS = 64, (2, 3, 4)
 #: Bytes of text that a worker parses at once; longer texts are parsed alone.
 STEP_BYTES = 1 << 20
+#: Symbols tossed at once.
+BLOCK = 1 << 18
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -44,29 +47,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2^64."""
-    up, down = np.full(n, _ODD, np.uint64), np.full(n, pow(_ODD, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(20, int(n).bit_length()))
+def powers(n: int) -> np.ndarray:
+    """The first n powers of an odd number, modulo 2^64."""
+    up = np.full(n, _ODD, np.uint64)
+    up[0] = 1
+    return np.multiply.accumulate(up)
 
 
 def _toss(label: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """One round of coin tossing against the left neighbour; first symbols meet the symbol 0."""
-    left = np.empty_like(label)
-    left[1:] = label[:-1]
-    left[0] = 0
-    left[first] = 0
-    differ = label ^ left
-    low = differ & (~differ + label.dtype.type(1))
-    at = np.bitwise_count(low - label.dtype.type(1)).astype(label.dtype)
-    at[differ == 0] = 0
-    return label.dtype.type(2) * at + ((label >> at) & label.dtype.type(1))
+    """One round of coin tossing against the left neighbour, in blocks; first symbols meet the symbol 0."""
+    out = np.empty(len(label), np.uint8)
+    one, two = label.dtype.type(1), label.dtype.type(2)
+    for lo in range(0, len(label), BLOCK):
+        own = label[lo : lo + BLOCK]
+        left = np.empty_like(own)
+        left[1:] = own[:-1]
+        left[0] = label[lo - 1] if lo else 0
+        left[first[lo : lo + BLOCK]] = 0
+        differ = own ^ left
+        at = np.bitwise_count((differ & (~differ + one)) - one).astype(label.dtype)
+        at[differ == 0] = 0
+        out[lo : lo + BLOCK] = two * at + ((own >> at) & one)
+    return out
 
 
 def parse_level(symbols: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +84,7 @@ def parse_level(symbols: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.nd
     n = len(symbols)
     first = np.ones(n, bool)
     first[1:] = doc[1:] != doc[:-1]
-    label = _toss(symbols, first).astype(np.uint8)
+    label = _toss(symbols, first)
     for _ in range(3):
         label = _toss(label, first)
     cut = first.copy()
@@ -93,9 +95,11 @@ def parse_level(symbols: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.nd
     cut[1:] &= ~(cut[:-1] & ~first[1:]) | first[1:]
     heads = np.flatnonzero(cut)
     ends = np.append(heads[1:], n)
-    up, down = powers(n + 1)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(symbols) * up[:n])))
-    names = mix((total[ends] - total[heads]) * down[heads] + (ends - heads).astype(np.uint64))
+    sizes = ends - heads
+    inside = np.arange(n, dtype=np.int32) - np.repeat(heads, sizes).astype(np.int32)
+    names = mix(symbols)
+    names *= powers(int(sizes.max()))[inside]
+    names = mix(np.add.reduceat(names, heads) + sizes.astype(np.uint64))
     return names, doc[heads]
 
 
@@ -106,7 +110,7 @@ def sketches(texts: list[bytes]) -> np.ndarray:
     if not sizes.sum():
         return out
     symbols = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64) + np.uint64(1)
-    doc = np.repeat(np.arange(len(texts)), sizes)
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
     names, docs = [], []
     for level in range(1, max(LEVELS) + 1):
         symbols, doc = parse_level(symbols, doc)
@@ -114,7 +118,7 @@ def sketches(texts: list[bytes]) -> np.ndarray:
             names.append(mix(symbols + np.uint64(level)))
             docs.append(doc)
     name, doc = np.concatenate(names), np.concatenate(docs)
-    place = doc * BINS + (name >> np.uint64(58)).astype(np.int64)
+    place = doc.astype(np.int64) * BINS + (name >> np.uint64(58)).astype(np.int64)
     order = np.lexsort((name, place))
     place, name = place[order], name[order]
     least = np.ones(len(place), bool)
@@ -160,7 +164,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = slim.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    ordered = slim.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     schema = f"doc_id {kind}, {_RESULT}, part int, role string, text string"
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
