@@ -1,11 +1,13 @@
 """Language-model scores by an interpolated modified Kneser-Ney bigram model.
 
 Counting: every map task turns its training texts into word hashes and sends distinct
-words and word pairs with their counts, packed, to groups by hash. A group sums them and
-writes sorted hash arrays into the model folder: words with counts; pairs with counts;
-for every first word the number of its distinct followers met once, twice and more
-often. Distinct pairs then send their second word on, which gives continuation counts.
-Only sums of a few numbers a group reach the driver.
+words and word pairs with their counts, packed, to groups by hash. The pairs of one first
+word go to ``SPLIT`` groups by their second, so that the commonest words, and the begin
+mark, fill no group alone. A group sums them and writes sorted hash arrays into the model
+folder: words with counts; pairs with counts. What it knows of its words goes on to a second
+deal, where parts are added and written too: for every second word the number of distinct
+words before it (its continuation count), for every first word the number of its distinct
+followers met once, twice and more often. Only sums of a few numbers a group reach the driver.
 
 Scoring: workers map the arrays into memory and look the words and pairs of a batch up by
 binary search. The model is
@@ -15,13 +17,19 @@ binary search. The model is
 with k(v) the distinct words before v, discounts from the counts of counts, and one
 place for all unknown words. A text starts at a begin mark and ends with an end token.
 
-The arrays live in the folder that driver and executors share (``spark.checkpoint.dir``);
-a group writes a file under another name first and renames it, so a repeated task
+The arrays live in the folder that driver and executors share (``spark.checkpoint.dir``),
+which must be mounted on every worker, since files are mapped; another kind is an error.
+A group writes a file under another name first and renames it, so a repeated task
 leaves a whole file. Names hold the group's number, which follows from the hash.
 
+Words are told apart by 64 bits of hash where they are counted, and by 48 in pairs: of W
+distinct words one shares these with another with a chance of W / 2^48 (4e-9 for a million).
+
 Defined cases: null and empty texts have one token, the end; a null id counts as the
 empty text in the split; without training rows every probability is the uniform one
-and the base score takes N = V = 0; repeated rows are learned and scored as often.
+and the base score takes N = V = 0; repeated rows are learned and scored as often; an empty
+table gives an empty result; a text is held whole with eight bytes for each of its words;
+other columns are not carried along.
 """
 
 from __future__ import annotations
@@ -42,7 +50,9 @@ from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 from .common import byte_slices, crc_mod, fresh_path, materialize, shuffles_cleaned, utf8
 
 #: Bytes of training text that a group stands for, and tokens a task holds before it sends.
-GROUP_BYTES, HELD_TOKENS = 16 << 20, 3_000_000
+GROUP_BYTES, HELD_TOKENS = 32 << 20, 2_000_000
+#: Groups that share the pairs of one first word (a power of two).
+SPLIT = 4
 END, BEGIN = xxhash.xxh64_intdigest(b"", 101), xxhash.xxh64_intdigest(b"", 102)
 _M48 = np.uint64((1 << 48) - 1)
 
@@ -51,7 +61,7 @@ class Hashes(dict):
     """Word to 64-bit hash, remembered within a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word, 7)
         return h
@@ -82,6 +92,11 @@ def group_of(h48: np.ndarray, groups: int) -> np.ndarray:
     return ((_mix(h48) >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int32)
 
 
+def pair_group(u: np.ndarray, v: np.ndarray, groups: int) -> np.ndarray:
+    """Where a pair is summed and stored."""
+    return group_of(u + (_mix(v) & np.uint64(SPLIT - 1)) * np.uint64(0x9E3779B97F4A7C15), groups)
+
+
 def _six(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
@@ -126,7 +141,7 @@ def _counted(held: list[np.ndarray], groups: int) -> Iterator[pa.RecordBatch]:
     u, v = short(before), short(flat)
     _, at, counts = _summed(pair_keys(u, v), np.ones(len(flat), np.int64))
     u, v = u[at], v[at]
-    yield _send(1, group_of(u, groups), lambda k: _six(u[k]) + _six(v[k]) + counts[k].astype(np.uint32).tobytes())
+    yield _send(1, pair_group(u, v, groups), lambda k: _six(u[k]) + _six(v[k]) + counts[k].astype(np.uint32).tobytes())
 
 
 def _send_counts(training: DataFrame, groups: int, text_col: str) -> DataFrame:
@@ -164,7 +179,7 @@ _TOTALS = ("n_tokens", "n_words", "p1", "p2", "p3", "p4", "pairs", "k1", "k2", "
 def _write_groups(folder: str):
     """Sums the sent counts of each group and writes its arrays.
 
-    Yields continuation rows (kind 2) and one row of totals a group (kind 3).
+    Yields what it knows of second words (kind 2) and first words (kind 4), and one row of totals a group (kind 3).
     """
 
     def words(g: int, packed: list[bytes]) -> np.ndarray:
@@ -182,8 +197,9 @@ def _write_groups(folder: str):
         keys, at, c = _summed(pair_keys(u, v), c)
         return u[at], v[at], c, keys
 
-    def pairs(g: int, held: tuple) -> np.ndarray:
-        u, v, c, keys = held
+    def pairs(g: int, held: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Totals; first words and what follows them in this group."""
+        u, _, c, keys = held
         _save(folder, f"pair-{g}", keys)
         _save(folder, f"times-{g}", np.minimum(c, (1 << 32) - 1).astype(np.uint32))
         order = np.argsort(u)
@@ -191,9 +207,8 @@ def _write_groups(folder: str):
         first[1:] = u[order][1:] != u[order][:-1]
         heads = np.flatnonzero(first)
         kinds = np.stack([(c[order] == 1), (c[order] == 2), (c[order] > 2), c[order]], axis=1).astype(np.int64)
-        _save(folder, f"before-{g}", u[order][heads])
-        _save(folder, f"follow-{g}", np.add.reduceat(kinds, heads, axis=0))
-        return np.array([0, 0, *((c == n).sum() for n in (1, 2, 3, 4)), len(c), 0, 0, 0, 0], np.int64)
+        totals = np.array([0, 0, *((c == n).sum() for n in (1, 2, 3, 4)), len(c), 0, 0, 0, 0], np.int64)
+        return totals, u[order][heads], np.add.reduceat(kinds, heads, axis=0).astype(np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
         at, held, size, pair_state = None, [], 0, None
@@ -205,7 +220,8 @@ def _write_groups(folder: str):
                 totals = words(g, held)
             else:
                 state = merge(pair_state, held)
-                totals = pairs(g, state)
+                totals, u, kinds = pairs(g, state)
+                yield _send(4, group_of(u, groups), lambda k: _six(u[k]) + kinds[k].tobytes())
                 v, _, n = _summed(state[1], np.ones(len(state[1]), np.int64))
                 yield _send(2, group_of(v, groups), lambda k: _six(v[k]) + n[k].astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([3], pa.int32()), pa.array([g], pa.int32()), pa.array([totals.tobytes()], pa.binary())], schema=_SENT_ARROW)
@@ -226,25 +242,41 @@ def _write_groups(folder: str):
     return run
 
 
-def _write_continuations(folder: str):
+def _write_sums(folder: str):
+    """Adds up what groups knew of first and second words and writes it."""
+
+    def seconds(g: int, packed: list[bytes]) -> np.ndarray:
+        v = np.concatenate([_eight(p[: len(p) // 10 * 6]) for p in packed])
+        n = np.concatenate([np.frombuffer(p, np.uint32, offset=len(p) // 10 * 6) for p in packed]).astype(np.int64)
+        v, _, n = _summed(v, n)
+        _save(folder, f"after-{g}", v)
+        _save(folder, f"cont-{g}", n)
+        return np.array([*[0] * 7, *((n == k).sum() for k in (1, 2, 3, 4))], np.int64)
+
+    def firsts(g: int, packed: list[bytes]) -> np.ndarray:
+        u = np.concatenate([_eight(p[: len(p) // 22 * 6]) for p in packed])
+        kinds = np.concatenate([np.frombuffer(p, np.uint32, offset=len(p) // 22 * 6).reshape(-1, 4) for p in packed]).astype(np.int64)
+        order = np.argsort(u)
+        u = u[order]
+        heads = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1])))
+        _save(folder, f"before-{g}", u[heads])
+        _save(folder, f"follow-{g}", np.add.reduceat(kinds[order], heads, axis=0))
+        return np.zeros(len(_TOTALS), np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
 
         def close() -> pa.RecordBatch:
-            v = np.concatenate([_eight(p[: len(p) // 10 * 6]) for p in held])
-            n = np.concatenate([np.frombuffer(p, np.uint32, offset=len(p) // 10 * 6) for p in held]).astype(np.int64)
-            v, _, n = _summed(v, n)
-            _save(folder, f"after-{at}", v)
-            _save(folder, f"cont-{at}", n)
-            totals = np.array([*[0] * 7, *((n == k).sum() for k in (1, 2, 3, 4))], np.int64)
-            return pa.RecordBatch.from_arrays([pa.array([3], pa.int32()), pa.array([at], pa.int32()), pa.array([totals.tobytes()], pa.binary())], schema=_SENT_ARROW)
+            kind, g = at
+            totals = (seconds if kind == 2 else firsts)(g, held)
+            return pa.RecordBatch.from_arrays([pa.array([3], pa.int32()), pa.array([g], pa.int32()), pa.array([totals.tobytes()], pa.binary())], schema=_SENT_ARROW)
 
         for batch in batches:
-            for g, packed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if g != at and held:
-                    yield close()
-                    held = []
-                at = g
+            for kind, g, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if (kind, g) != at:
+                    if held:
+                        yield close()
+                    at, held = (kind, g), []
                 held.append(packed)
         if held:
             yield close()
@@ -269,12 +301,12 @@ def train(training: DataFrame, text_col: str = "text") -> dict:
     path = fresh_path(spark, "lm")
     folder = _local(path)
     os.makedirs(folder, exist_ok=True)
-    write, follow = _write_groups(folder), _write_continuations(folder)
+    write, add_up = _write_groups(folder), _write_sums(folder)
     with shuffles_cleaned(spark):
         sent = _send_counts(training, groups, text_col)
         dealt = sent.repartition(groups * 2, "kind", "g").sortWithinPartitions("kind", "g")
         rows, _ = materialize(dealt.mapInArrow(lambda b: write(b, groups), _SENT), "lm-rows")
-        later = rows.filter("kind = 2").repartition(groups, "g").sortWithinPartitions("g").mapInArrow(follow, _SENT)
+        later = rows.filter("kind in (2, 4)").repartition(groups, "kind", "g").sortWithinPartitions("kind", "g").mapInArrow(add_up, _SENT)
         later, _ = materialize(later, "lm-totals")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +321,7 @@ def train(training: DataFrame, text_col: str = "text") -> dict:
     return {"folder": folder, "groups": groups, **{k: v or 0 for k, v in found.items()}}
 
 
-@lru_cache(maxsize=4096)
+@lru_cache(maxsize=16384)
 def _mapped(path: str) -> np.ndarray | None:
     return np.load(path, mmap_mode="r") if os.path.exists(path) else None
 
@@ -344,7 +376,7 @@ class Model:
         keys, pair_back = np.unique(pair_keys(u, w), return_inverse=True)
         first = np.empty(len(keys), np.int64)
         first[pair_back] = np.arange(len(flat))
-        times = self.find(keys, group_of(u[first], self.groups), "pair", "times")[pair_back]
+        times = self.find(keys, pair_group(u[first], w[first], self.groups), "pair", "times")[pair_back]
         seen = follow[context_back]
         all_seen = np.maximum(seen[:, 3], 1)
         gamma = np.where(seen[:, 3] > 0, (seen[:, :3] * np.array(self.d)).sum(axis=1) / all_seen, 1.0)
