@@ -14,7 +14,8 @@ the disk holds one round's variants at a time.
 Defined cases: null and empty texts, and texts of white space, have fingerprint 0 and
 are linked like any other; a text under four words is one shingle; repeated rows share a
 fingerprint and a component; rows without an id get the component's smallest id that is
-not null (null if there is none).
+not null (null if there is none); an empty table gives an empty result; a text is hashed
+whole, its shingles 65536 at a time; ``keep_first`` passes columns of any name through.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, materialize, remove, utf8
+from .common import byte_slices, fresh_name, materialize, remove, utf8
 from .components import connected_components
 
 BITS, SHINGLE, SEED = 64, 4, 42
@@ -61,7 +62,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chain.from_iterable(byte_slices(b, "t", 8 << 20) for b in batches):
+        for batch in chain.from_iterable(byte_slices(b, "t") for b in batches):
             fp = np.array([fingerprint(t) for t in utf8(batch, "t")], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(fp)], ["doc_id", "fp"])
 
@@ -194,5 +195,6 @@ def keep_first(docs: DataFrame, distance: int = 4, id_col: str = "doc_id", text_
     where no row has one.
     """
     marked = near_duplicates(docs, distance, id_col=id_col, text_col=text_col)
-    kept = marked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")
+    name = fresh_name(docs.columns, "_kept")
+    kept = marked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col(name)), "left_semi")

@@ -8,7 +8,9 @@ remembered in a bounded table, since words repeat.
 
 Defined cases: null and empty texts have 0 tokens; a special string inside a text is one
 token, as the library's default has it; repeated rows each get their count; an empty
-table gives an empty result; other columns of the input are not carried along.
+table gives an empty result; texts of over ``LONG_TEXT`` characters are cut into pieces one
+after the other, so only a single piece (a run without a break) is held with its heap, some
+200 bytes for each of its own; other columns of the input are not carried along.
 """
 
 from __future__ import annotations
@@ -123,7 +125,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer_path).count
-        for batch in chain.from_iterable(byte_slices(b, "t", 16 << 20) for b in batches):
+        for batch in chain.from_iterable(byte_slices(b, "t", 4 << 20) for b in batches):
             n = [count(t) for t in batch.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("b"), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 

@@ -6,8 +6,9 @@ an array that a fold over the training rows updates by stochastic gradient steps
 and weights have a fixed size, so the one-row model may be broadcast.
 
 Defined cases: a null url, and one without ``://``, has an empty host and path and no
-rule; it is judged by the model's bias. Repeated rows are judged alike; an empty table
-gives an empty result; other columns are not carried along.
+rule; the model judges it by the n-grams of the empty frame. Repeated rows are judged
+alike; an empty table gives an empty result; urls of any length are judged whole; other
+columns are not carried along.
 """
 
 from __future__ import annotations
