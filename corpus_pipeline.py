@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm import decontaminate, mixing, simhash, suffix_dedup, toxicity
-from pagewright.llm.common import materialize, read_table
+from pagewright.llm.common import keep, materialize, read_table, remove, scratch
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages in turn; what a stage wrote goes once its result is written, its result once the next one's is."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = materialize(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            docs, path = materialize(stage(spark, docs, sf_dir), name)
+            keep(path)
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
