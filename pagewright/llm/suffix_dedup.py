@@ -11,16 +11,26 @@ right of the anchor, and reversed those to the left, are suffixes; both are put
 by deep-shallow sorting: multikey quicksort on eight-byte symbols down to ``SHALLOW``
 bytes, then a blind trie for each group with the same first bytes, which also yields
 exact longest common prefixes. A window is repeated if and only if another suffix
-shares its bytes on both sides, which two runs of neighbours in the arrays tell.
+shares its bytes on both sides, which two runs of neighbours in the arrays tell. Groups of
+every size, two included, are sorted and read like this.
+
+Hot anchors. Windows hold 0 to SPAN - GRAM bytes to the left of their anchor. Of an anchor met
+more than ``HOT`` times these depths are cut into 2^LEVEL ranges. Equal windows of one range
+share the bytes that all its windows have, so the anchor's group falls into one for each range
+and value of these bytes, and no pair is lost. A segment's part that matters to a range is a
+piece; equal pieces are counted before they are compared and joined with their segments again
+afterwards, in joins that adaptive execution can split. Where a group still holds more than
+``HOT`` different pieces they are cut once more, one depth a piece, which leaves groups of
+equal pieces alone.
 
 Segments that are equal are counted before the shuffle and compared once. Positions are
-addressed by a 128-bit hash of the text, so equal texts share the work. What an anchor's
-group finds goes back to the texts by joins that adaptive execution can split.
+addressed by a 128-bit hash of the text, so equal texts share the work.
 
 Defined cases: null and empty texts have no bytes; texts under 200 bytes keep all; rows
 with equal texts of 200 bytes or more lose everything; repeated rows count as copies;
-an empty table gives an empty result. Where a kept text is wanted (``strip_repeats``), a
-removal never cuts a UTF-8 sequence: its bytes outside the removed run stay with it.
+an empty table gives an empty result; texts are hashed in parts of ``STEP`` bytes, however
+long they are. Where a kept text is wanted (``strip_repeats``), a removal never cuts a UTF-8
+sequence: its bytes outside the removed run stay with it; columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -28,17 +38,21 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, remove, shuffles_cleaned
+from .common import byte_slices, materialize, remove, shuffles_cleaned
 
 SPAN, GRAM, SHALLOW = 200, 64, 32
 #: Bytes that a worker hashes at once; longer texts are taken in overlapping parts.
-STEP, POSITION_BITS = 1 << 20, 22
+STEP, POSITION_BITS = 1 << 18, 22
+#: Places of one anchor beyond which its group is split, and bytes of text taken from a batch at once.
+HOT, LEVEL, SINGLE, SLICE = 300, 5, 8, 1 << 20
 _ODD = 0xD1342543DE82EF95
 
 
@@ -240,124 +254,165 @@ def deep_shallow(strings: list[bytes]) -> tuple[list[int], list[int]]:
 # --- repeated windows of one anchor's group ------------------------------------------
 
 
-def _classes(strings: list[bytes], depths: np.ndarray) -> np.ndarray:
-    """A row for each depth: numbers that are equal where that many first bytes are."""
+def _sorted(strings: list[bytes]) -> tuple[list[int], list[int]]:
+    """Each string's place among the distinct ones in order, and their common prefixes with the one before."""
     own: dict[bytes, int] = {}
-    which = np.array([own.setdefault(s, len(own)) for s in strings])
+    which = [own.setdefault(s, len(own)) for s in strings]
     order, lcp = deep_shallow(list(own))
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    steps = np.array(lcp)[None, :] < depths[:, None]
-    steps[:, 0] = False
-    return np.cumsum(steps, axis=1)[:, rank[which]]
+    rank = [0] * len(order)
+    for place, k in enumerate(order):
+        rank[k] = place
+    return [rank[k] for k in which], lcp
 
 
-def repeated_windows(segments: list[bytes], left: list[int], counts: list[int]) -> list[list[tuple[int, int]]]:
-    """Runs of repeated windows, as places in each segment.
+def _classes(lcp: list[int], depth: int) -> list[int]:
+    """Numbers, in sorted order, that are equal where that many first bytes are."""
+    return list(accumulate((x < depth for x in lcp[1:]), initial=0))
 
-    A segment holds ``left`` bytes before the anchor; its windows start at 0 to len - SPAN.
+
+def repeated_depths(segments: list[bytes], left: list[int], counts: list[int]) -> list[list[tuple[int, int]]]:
+    """For each segment the runs of depths (bytes left of the anchor) of its repeated windows.
+
+    A segment holds ``left`` bytes before the anchor. What is equal changes only at depths
+    that the two arrays of common prefixes and the segments' ends name; between two such
+    depths all windows are judged at once.
     """
-    sizes = [len(s) - SPAN + 1 for s in segments]
-    if len(segments) == 2 and max(counts) == 1:  # two suffixes: their common prefixes tell all
-        (a, b), (la, lb) = segments, left
-        right = common_prefix(a[la:], b[lb:])
-        back = common_prefix(a[:la][::-1], b[:lb][::-1])
-        out = []
-        for own, n in zip(left, sizes, strict=True):
-            lo, hi = max(0, own - back), min(n - 1, own - (SPAN - right))
-            out.append([(lo, hi)] if lo <= hi else [])
-        return out
-    found: list[list[tuple[int, int]]] = [[(0, n - 1)] if c > 1 else [] for n, c in zip(sizes, counts, strict=True)]
-    if len(segments) < 2 or min(counts) > 1:
-        return found
-    weight = np.array(counts)
-    lefts = np.array(left)
-    least = lefts - np.array(sizes) + 1  # windows start ``least`` to ``left`` bytes before the anchor
-    step = max(1, 2_000_000 // len(segments))
-    hits = [[] for _ in segments]
-    for lo in range(int(least.min()), int(lefts.max()) + 1, step):
-        x = np.arange(lo, min(lo + step, int(lefts.max()) + 1))
-        right = _classes([s[k:] for s, k in zip(segments, left, strict=True)], SPAN - x)
-        back = _classes([s[:k][::-1] for s, k in zip(segments, left, strict=True)], x)
-        has = (x[:, None] <= lefts[None, :]) & (x[:, None] >= least[None, :])
-        key = np.where(has, right * np.int64(len(segments) + 1) + back, -1 - np.arange(len(segments))[None, :])
-        order = np.argsort(key, axis=1, kind="stable")
-        k = np.take_along_axis(key, order, 1)
-        twice = np.zeros(k.shape, bool)
-        same = k[:, 1:] == k[:, :-1]
-        twice[:, 1:] |= same
-        twice[:, :-1] |= same
-        back_again = np.empty_like(twice)
-        np.put_along_axis(back_again, order, twice, 1)
-        back_again &= has & (weight == 1)[None, :]
-        for row, col in zip(*np.nonzero(back_again), strict=True):
-            hits[col].append(left[col] - int(x[row]))
-    for k, starts in enumerate(hits):
-        for s in sorted(starts):
-            if found[k] and found[k][-1][1] == s - 1:
-                found[k][-1] = (found[k][-1][0], s)
-            else:
-                found[k].append((s, s))
+    least = [k + SPAN - len(s) for s, k in zip(segments, left, strict=True)]  # windows start ``left`` to ``least`` bytes before the anchor
+    if len(segments) == 1:
+        return [[(least[0], left[0])] if counts[0] > 1 else []]
+    right_rank, right_lcp = _sorted([s[k:] for s, k in zip(segments, left, strict=True)])
+    left_rank, left_lcp = _sorted([s[:k][::-1] for s, k in zip(segments, left, strict=True)])
+    low, high = min(least), max(left)
+    cuts = {low, *least, *(k + 1 for k in left), *(x + 1 for x in left_lcp[1:]), *(SPAN - x for x in right_lcp[1:])}
+    cuts = [*sorted(c for c in cuts if low <= c <= high), high + 1]
+    found: list[list[tuple[int, int]]] = [[] for _ in segments]
+    for at, after in zip(cuts[:-1], cuts[1:], strict=True):
+        right, back = _classes(right_lcp, SPAN - at), _classes(left_lcp, at)
+        weight: dict[tuple[int, int], int] = {}
+        members = [k for k in range(len(segments)) if least[k] <= at <= left[k]]
+        keys = [(right[right_rank[k]], back[left_rank[k]]) for k in members]
+        for k, key in zip(members, keys, strict=True):
+            weight[key] = weight.get(key, 0) + counts[k]
+        for k, key in zip(members, keys, strict=True):
+            if weight[key] > 1:
+                runs = found[k]
+                if runs and runs[-1][1] == at - 1:
+                    runs[-1] = (runs[-1][0], after - 1)
+                else:
+                    runs.append((at, after - 1))
     return found
 
 
 # --- the Spark jobs ------------------------------------------------------------------
 
 
-def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumn("_k1", F.xxhash64(text)).withColumn("_k2", F.xxhash64(F.lit("second"), text)).withColumn("_b", text.cast("binary"))
+def _keyed(text: "F.Column") -> list["F.Column"]:
+    """Two hashes of a text and its bytes."""
+    text = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2"), text.cast("binary").alias("b")]
 
 
 def _find_anchors(keyed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k1, k2 = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("_k1", "_k2"))
-            for owner, h, at, _, _ in text_anchors(batch.column("_b").to_pylist()):
+        for batch in chain.from_iterable(byte_slices(x, "b", SLICE) for x in batches):
+            k1, k2 = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("k1", "k2"))
+            for owner, h, at, _, _ in text_anchors(batch.column("b").to_pylist()):
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(k1[owner]), pa.array(k2[owner]), pa.array(at)], ["a", "k1", "k2", "pos"])
 
-    return keyed.select("_k1", "_k2", "_b").mapInArrow(run, "a long, k1 long, k2 long, pos long")
+    return keyed.select("k1", "k2", "b").mapInArrow(run, "a long, k1 long, k2 long, pos long")
+
+
+#: Rows of two kinds: a place of a segment; a segment with its bytes, count and level.
+PLACE, SEGMENT = 0, 1
+_ROWS = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("s1", pa.int64()), ("left", pa.int32()), ("seg", pa.binary()), ("n", pa.int64()), ("level", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("at", pa.int64())])
+
+
+def _hash(data: bytes, seed: int = 0) -> int:
+    return xxhash.xxh64_intdigest(data, seed) - (1 << 63)
+
+
+def pieces(seg: bytes, left: int, level: int) -> Iterator[tuple[int, bytes, bytes, int]]:
+    """(range, shared bytes, piece, its bytes left of the anchor) for every range of depths that the segment's windows meet."""
+    ranges, depths = 1 << level, SPAN - GRAM + 1
+    least = left + SPAN - len(seg)
+    for k in range(ranges):
+        lo, hi = depths * k // ranges, depths * (k + 1) // ranges - 1
+        if lo > hi or hi < least or lo > left:
+            continue
+        own = min(left, hi)
+        # a piece holds the range's windows and no more
+        yield k, seg[left - lo : left + SPAN - hi], seg[left - own : left + SPAN - max(lo, least)], own
 
 
 def _segments(with_positions: DataFrame) -> DataFrame:
-    """Segments around repeated anchors: a row with bytes and a count for each that is
-    distinct in its batch, and a row for each place."""
-    schema = "a long, s1 long, left int, seg binary, n long, k1 long, k2 long, lo long"
-    arrow = pa.schema([("a", pa.int64()), ("s1", pa.int64()), ("left", pa.int32()), ("seg", pa.binary()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("lo", pa.int64())])
+    """Segments around repeated anchors: a row for each place, and one with bytes and count for
+    each segment that is distinct in its slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in batches:
-            texts = batch.column("_b").to_pylist()
-            k1, k2 = batch.column("_k1").to_pylist(), batch.column("_k2").to_pylist()
-            # (text, position) of wanted anchors as one number
-            wanted = np.concatenate([np.empty(0, np.int64), *(np.array(p, np.int64) + (k << 40) for k, p in enumerate(batch.column("pos").to_pylist()))])
-            wanted.sort()
-            out: dict[str, list] = {f.name: [] for f in arrow}
+        for batch in chain.from_iterable(byte_slices(x, "b", SLICE) for x in batches):
+            texts = batch.column("b").to_pylist()
+            k1, k2 = batch.column("k1").to_pylist(), batch.column("k2").to_pylist()
+            # (text, position) of wanted anchors as one number, and the level of each
+            wanted = np.concatenate([np.empty(0, np.int64), *((np.array(p, np.int64) >> 4) + (k << 40) for k, p in enumerate(batch.column("pos").to_pylist()))])
+            levels = np.concatenate([np.empty(0, np.int64), *(np.array(p, np.int64) & 15 for p in batch.column("pos").to_pylist())])
+            order = np.argsort(wanted)
+            wanted, levels = wanted[order], levels[order]
+            places: list[list] = [[] for _ in range(6)]
             distinct: dict[tuple, list] = {}
             for owner, h, at, lo, hi in text_anchors(texts):
                 code = owner.astype(np.int64) * (1 << 40) + at
-                found = np.searchsorted(wanted, code)
-                keep = (found < len(wanted)) & (wanted[np.minimum(found, len(wanted) - 1)] == code)
-                for k, a, p, x, y in zip(*(v[keep].tolist() for v in (owner, h, at, lo, hi)), strict=True):
+                found = np.minimum(np.searchsorted(wanted, code), max(len(wanted) - 1, 0))
+                keep = wanted[found] == code if len(wanted) else np.zeros(len(code), bool)
+                for k, a, p, x, y, level in zip(*(v[keep].tolist() for v in (owner, h, at, lo, hi)), levels[found[keep]].tolist(), strict=True):
                     seg = texts[k][x : y + SPAN]
-                    s1 = xxhash.xxh64_intdigest(seg, p - x) - (1 << 63)
-                    distinct.setdefault((a, s1, p - x, seg), [0])[0] += 1
-                    for name, value in (("a", a), ("s1", s1), ("left", p - x), ("seg", None), ("n", None), ("k1", k1[k]), ("k2", k2[k]), ("lo", x)):
-                        out[name].append(value)
-            for (a, s1, left, seg), (n,) in distinct.items():
-                for name, value in (("a", a), ("s1", s1), ("left", left), ("seg", seg), ("n", n), ("k1", None), ("k2", None), ("lo", None)):
-                    out[name].append(value)
-            if out["a"]:
-                yield pa.RecordBatch.from_pydict(out, arrow)
+                    s1 = _hash(seg, p - x)
+                    distinct.setdefault((a, s1, p - x, seg, level), [0])[0] += 1
+                    for column, value in zip(places, (a, s1, p - x, k1[k], k2[k], p), strict=True):
+                        column.append(value)
+            if places[0]:
+                n, m = len(places[0]), len(distinct)
+                none = lambda name, size: pa.nulls(size, _ROWS.field(name).type)
+                typed = lambda name, values: pa.array(values, _ROWS.field(name).type)
+                yield pa.RecordBatch.from_arrays([typed("kind", np.full(n, PLACE, np.int32)), *map(typed, ("a", "s1", "left"), places[:3]), *(none(c, n) for c in ("seg", "n", "level")), *map(typed, ("k1", "k2", "at"), places[3:])], schema=_ROWS)
+                keys = list(zip(*distinct, strict=True))
+                yield pa.RecordBatch.from_arrays([typed("kind", np.full(m, SEGMENT, np.int32)), *map(typed, ("a", "s1", "left", "seg"), keys[:4]), typed("n", [n for (n,) in distinct.values()]), typed("level", keys[4]), *(none(c, m) for c in ("k1", "k2", "at"))], schema=_ROWS)
+
+    return with_positions.select("k1", "k2", "b", "pos").mapInArrow(run, "kind int, a long, s1 long, left int, seg binary, n long, level int, k1 long, k2 long, at long")
+
+
+def _cut(segments: DataFrame, level: int) -> DataFrame:
+    """Pieces of distinct segments (a, s1, left, seg, n): g names the group and p the piece."""
+    arrow = pa.schema([("a", pa.int64()), ("s1", pa.int64()), ("left", pa.int32()), ("seg", pa.binary()), ("n", pa.int64()), ("g", pa.int64()), ("p", pa.int64()), ("own_left", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chain.from_iterable(byte_slices(x, "seg", SLICE >> 4) for x in batches):
+            rows = []
+            for a, s1, left, seg, n in zip(*(batch.column(c).to_pylist() for c in ("a", "s1", "left", "seg", "n")), strict=True):
+                rows += [(a, s1, left, piece, n, _hash(shared, k + a % (1 << 32)), _hash(piece, own), own) for k, shared, piece, own in pieces(seg, left, level)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+    return segments.select("a", "s1", "left", "seg", "n").mapInArrow(run, "a long, s1 long, left int, seg binary, n long, g long, p long, own_left int")
+
+
+def _alike(cut: DataFrame) -> DataFrame:
+    """Different pieces as segments of their groups, with the places they stand for."""
+    return cut.groupBy(F.col("g").alias("a"), F.col("p").alias("s1"), F.col("own_left").alias("left")).agg(F.sum("n").alias("n"), F.first("seg").alias("seg"))
+
 
-    return with_positions.select("_k1", "_k2", "_b", "pos").mapInArrow(run, schema)
+def _back(cut: DataFrame, runs: DataFrame) -> DataFrame:
+    """Runs of pieces as runs of the segments that they were cut from."""
+    found = runs.select(F.struct(F.col("a").alias("g"), F.col("s1").alias("p"), F.col("left").alias("own_left")).alias("own"), "lo", "hi")
+    return cut.select("a", "s1", "left", F.struct("g", "p", "own_left").alias("own")).join(found, "own").select("a", "s1", "left", "lo", "hi")
+
+
+def _dealt(segments: DataFrame) -> DataFrame:
+    """Segments (a, s1, left, seg, n), the groups dealt out and in order."""
+    parts = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return segments.select("a", "s1", "left", "seg", "n").repartition(parts, "a").sortWithinPartitions("a")
 
 
 def _compare(segments: DataFrame) -> DataFrame:
-    """Repeated windows of every distinct segment: a row for each run."""
-    schema = "a long, s1 long, left int, lo int, hi int"
+    """(a, s1, left, lo, hi): runs of depths of repeated windows, from rows (a, s1, left, seg, n) ordered by a."""
     arrow = pa.schema([("a", pa.int64()), ("s1", pa.int64()), ("left", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,13 +421,13 @@ def _compare(segments: DataFrame) -> DataFrame:
 
         def close() -> None:
             keys = list(held)
-            found = repeated_windows([seg for _, _, seg in keys], [left for _, left, _ in keys], [held[k] for k in keys])
+            found = repeated_depths([seg for _, _, seg in keys], [left for _, left, _ in keys], [held[k] for k in keys])
             for (s1, left, _), runs in zip(keys, found, strict=True):
                 for lo, hi in runs:
                     for name, value in zip(out, (at, s1, left, lo, hi), strict=True):
                         out[name].append(value)
 
-        for batch in batches:
+        for batch in chain.from_iterable(byte_slices(x, "seg", SLICE) for x in batches):
             for a, s1, left, seg, n in zip(*(batch.column(c).to_pylist() for c in ("a", "s1", "left", "seg", "n")), strict=True):
                 if a != at and held:
                     close()
@@ -387,43 +442,52 @@ def _compare(segments: DataFrame) -> DataFrame:
         if out["a"]:
             yield pa.RecordBatch.from_pydict(out, arrow)
 
-    return segments.mapInArrow(run, schema)
+    return segments.mapInArrow(run, "a long, s1 long, left int, lo int, hi int")
 
 
-def repeated_runs(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(k1, k2, runs): for each text with repeats, by hash, the runs of repeated window starts."""
+def repeated_runs(docs: DataFrame, text_col: str = "text", hot: int = HOT) -> tuple[DataFrame, str]:
+    """(k1, k2, los, his): for each text with repeats, by hash, the runs of repeated window starts; and the table's path."""
     spark = docs.sparkSession
-    keyed = _keyed(docs.select(text_col), text_col)
+    keyed = docs.select(*_keyed(F.col(text_col)))
     found, anchor_path = materialize(_find_anchors(keyed), "anchors")
     with shuffles_cleaned(spark):
         # written first, so that the join reads two plain shuffles, whose hot keys can be split
-        again, again_path = materialize(found.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a"), "again")
-        wanted = found.join(again, "a").groupBy("k1", "k2").agg(F.collect_set("pos").alias("pos"))
+        level = F.when(F.col("n") > hot, F.lit(LEVEL)).otherwise(F.lit(0)).cast("long")
+        met_again, met_path = materialize(found.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a", level.alias("level")), "again")
+        wanted = found.join(met_again, "a").groupBy("k1", "k2").agg(F.collect_set(F.col("pos") * 16 + F.col("level")).alias("pos"))
         positions, position_path = materialize(wanted, "positions")
         remove(spark, anchor_path)
-        remove(spark, again_path)
-        joined = keyed.join(positions, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")))
-        segments, segment_path = materialize(_segments(joined), "segments")
+        remove(spark, met_path)
+        segments, segment_path = materialize(_segments(keyed.join(positions, ["k1", "k2"])), "segments")
         remove(spark, position_path)
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        distinct = segments.filter("seg is not null").select("a", "s1", "left", "seg", "n").repartition(parts, "a").sortWithinPartitions("a")
-        runs, run_path = materialize(_compare(distinct), "runs")
-        places = segments.filter("seg is null").select("a", "s1", "left", "k1", "k2", F.col("lo").alias("at"))
-        back = places.join(runs, ["a", "s1", "left"]).select("k1", "k2", F.struct((F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi")).alias("run"))
-        out, _ = materialize(back.groupBy("k1", "k2").agg(F.collect_set("run").alias("runs")), "repeats")
-        remove(spark, segment_path)
-        remove(spark, run_path)
-    return out
-
-
-def removed_spans(runs: list[dict] | None) -> list[tuple[int, int]]:
-    """Maximal removed byte runs [lo, hi) from runs of repeated window starts."""
+        every = segments.filter(F.col("kind") == SEGMENT)
+        runs, run_path = materialize(_compare(_dealt(every.filter("level = 0"))), "runs")
+        # a hot anchor's equal segments are counted before any of them is cut
+        hot_ones = every.filter("level > 0").groupBy("a", "s1", "left").agg(F.sum("n").alias("n"), F.first("seg").alias("seg"))
+        cut, cut_path = materialize(_cut(hot_ones, LEVEL), "pieces")
+        alike, alike_path = materialize(_alike(cut), "alike")
+        large, large_path = materialize(alike.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("a"), "large")
+        again, again_path = materialize(_cut(alike.join(large, "a", "left_semi"), SINGLE), "single")
+        single_runs, single_path = materialize(_compare(_dealt(_alike(again))), "single_runs")
+        part_runs, part_path = materialize(_compare(_dealt(alike.join(large, "a", "left_anti"))), "part_runs")
+        runs = runs.unionByName(_back(cut, part_runs.unionByName(_back(again, single_runs))))
+        places = segments.filter(F.col("kind") == PLACE).select("a", "s1", "left", "k1", "k2", "at")
+        back = places.join(runs, ["a", "s1", "left"]).select("k1", "k2", F.struct((F.col("at") - F.col("hi")).alias("lo"), (F.col("at") - F.col("lo")).alias("hi")).alias("run"))
+        out = back.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("run")).alias("runs"))
+        out, path = materialize(out.select("k1", "k2", F.col("runs.lo").alias("los"), F.col("runs.hi").alias("his")), "repeats")
+        for done in (segment_path, run_path, cut_path, alike_path, large_path, again_path, single_path, part_path):
+            remove(spark, done)
+    return out, path
+
+
+def removed_spans(los: list[int] | None, his: list[int] | None) -> list[tuple[int, int]]:
+    """Maximal removed byte runs [lo, hi) from runs of repeated window starts, in order."""
     out: list[tuple[int, int]] = []
-    for lo, hi in sorted((r["lo"], r["hi"] + SPAN) for r in runs or ()):
+    for lo, hi in zip(los or (), his or (), strict=True):
         if out and lo <= out[-1][1]:
-            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+            out[-1] = (out[-1][0], max(hi + SPAN, out[-1][1]))
         else:
-            out.append((lo, hi))
+            out.append((lo, hi + SPAN))
     return out
 
 
@@ -448,47 +512,48 @@ def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
     return out
 
 
-def _with_runs(docs: DataFrame, text_col: str) -> DataFrame:
-    runs = repeated_runs(docs, text_col)
-    keyed = _keyed(docs, text_col)
-    return keyed.join(runs, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left")
+def _with_runs(docs: DataFrame, text_col: str, hot: int = HOT) -> DataFrame:
+    """(row, b, los, his): every row of docs as a struct, with its text's bytes and runs."""
+    runs, _ = repeated_runs(docs, text_col, hot)
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_keyed(F.col(text_col)))
+    return keyed.join(runs, ["k1", "k2"], "left").select("row", "b", "los", "his")
+
+
+_DIGEST = "struct<n_removed:long,kept_sha256:string,spans:array<struct<lo:long,hi:long>>>"
+
+
+def _parts_of(*arrays: pa.Array) -> Iterator[Iterator[tuple]]:
+    """Rows of arrays, the first holding bytes, in slices."""
+    batch = pa.RecordBatch.from_arrays(list(arrays), [str(k) for k in range(len(arrays))])
+    for part in byte_slices(batch, "0", SLICE):
+        yield zip(*(c.to_pylist() for c in part.columns), strict=True)
 
 
-def repeat_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeat_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans."""
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = slim.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
-    span_type = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
+    kind = pa.struct([("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, gone, sha, spans = [], [], [], []
-            for text, runs in zip(batch.column("_b").to_pylist(), batch.column("runs").to_pylist(), strict=True):
-                own = removed_spans(runs)
-                n.append(len(text))
-                gone.append(sum(hi - lo for lo, hi in own))
-                sha.append(hashlib.sha256(kept_bytes(text, own)).hexdigest())
-                spans.append([{"lo": lo, "hi": hi} for lo, hi in own])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([len(s) for s in spans], pa.int64()), pa.array(sha, pa.string()), pa.array(spans, span_type)], names)
+    @F.arrow_udf(_DIGEST)
+    def digest(b: pa.Array, los: pa.Array, his: pa.Array) -> pa.Array:
+        out = []
+        for rows in _parts_of(b, los, his):
+            for text, lo, hi in rows:
+                own = removed_spans(lo, hi)
+                out.append({"n_removed": sum(y - x for x, y in own), "kept_sha256": hashlib.sha256(kept_bytes(text, own)).hexdigest(), "spans": [{"lo": x, "hi": y} for x, y in own]})
+        return pa.array(out, kind)
 
-    joined = _with_runs(slim, "text").select("doc_id", "_b", "runs")
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<lo:long,hi:long>>")
+    joined = _with_runs(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", hot)
+    out = joined.select(F.col("row.doc_id").alias("doc_id"), F.octet_length("b").cast("long").alias("n_bytes"), digest("b", "los", "his").alias("d"))
+    return out.select("doc_id", "n_bytes", "d.n_removed", F.size("d.spans").cast("long").alias("n_spans"), "d.kept_sha256", "d.spans")
 
 
 def strip_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with repeated passages removed from the text; all rows and columns stay."""
-    columns = docs.columns
-    joined = _with_runs(docs, text_col).select(*columns, "_b", "runs")
-    at, n = columns.index(text_col), len(columns)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            before, out = batch.column(at).to_pylist(), []
-            for old, text, runs in zip(before, batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True):
-                out.append(kept_bytes(text, whole_characters(text, removed_spans(runs))).decode() if runs else old)
-            own = list(batch.columns[:n])
-            own[at] = pa.array(out, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(own, names=columns)
-
-    return joined.mapInArrow(run, docs.schema)
+    @F.arrow_udf("string")
+    def kept(b: pa.Array, los: pa.Array, his: pa.Array) -> pa.Array:
+        return pa.array([kept_bytes(text, whole_characters(text, removed_spans(lo, hi))).decode() if lo else text.decode() for rows in _parts_of(b, los, his) for text, lo, hi in rows], pa.string())
+
+    field = lambda c: F.col("row").getField(c)
+    text = F.when(field(text_col).isNotNull(), kept("b", "los", "his"))
+    return _with_runs(docs, text_col).select(*[(text if c == text_col else field(c)).alias(c) for c in docs.columns])
