@@ -234,9 +234,9 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str,
     yield held
 
 
-_FOUND = "struct<matches:array<struct<item_id:string,first_word:long,n_words:long>>,items:array<string>,hit:array<long>>"
+_FOUND = "struct<n_words:long,matches:array<struct<item_id:string,first_word:long,n_words:long>>,items:array<string>,hit:array<long>>"
 _FOUND_ARROW = pa.struct([
-    ("matches", pa.list_(pa.struct([("item_id", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64())]))), ("items", pa.list_(pa.string())), ("hit", pa.list_(pa.int64())),
+    ("n_words", pa.int64()), ("matches", pa.list_(pa.struct([("item_id", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64())]))), ("items", pa.list_(pa.string())), ("hit", pa.list_(pa.int64())),
 ])
 
 
@@ -256,14 +256,14 @@ def _searcher(spark: SparkSession, items: list[tuple[str, bytes]], n: int, locat
                     if located:
                         got = {(a, m, block.items[k]) for k in own.tolist() for a, m in longest_matches(words, block.texts[k], n)}
                         matches = [{"item_id": i, "first_word": a, "n_words": m} for a, m, i in sorted(got)]
-                    out.append({"matches": matches, "items": ids, "hit": hits.tolist()})
+                    out.append({"n_words": len(words), "matches": matches, "items": ids, "hit": hits.tolist()})
             yield pa.array(out, _FOUND_ARROW)
 
     return run, shared
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, n: int = 8, text_col: str = "text", block_bytes: int = BLOCK_BYTES, found_col: str = "_found", located: bool = True) -> DataFrame:
-    """docs plus a struct column (matches, items, hit): longest matches (if located), item ids and hit words."""
+    """docs plus a struct column (n_words, matches, items, hit): longest matches (if located), item ids and hit words."""
     if fresh_name(docs.columns, found_col) != found_col:
         raise ValueError(f"the table has a column {found_col!r} already")
     spark, text = docs.sparkSession, F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -286,19 +286,19 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, n: int = 8, text_col: st
     merged, _ = materialize(found.groupBy("k1", "k2").agg(matches.alias("matches"), *[x.alias(c) for c, x in lists.items()]), "matches")
     for path in paths:
         remove(spark, path)
-    none = F.struct(*[F.array().cast(kind).alias(c) for c, kind in (("matches", "array<struct<item_id:string,first_word:long,n_words:long>>"), ("items", "array<string>"), ("hit", "array<long>"))])
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c for c in (F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2"))])
-    joined = rows.join(merged.select("k1", "k2", F.struct("matches", "items", "hit").alias("f")), ["k1", "k2"], "left")
-    return joined.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], F.coalesce("f", none).alias(found_col))
+    count = F.regexp_count(text, F.lit(ALNUM_WORD)).cast("long").alias("n_words")
+    none = F.struct(count, *[F.array().cast(kind).alias(c) for c, kind in (("matches", "array<struct<item_id:string,first_word:long,n_words:long>>"), ("items", "array<string>"), ("hit", "array<long>"))])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2"), none.alias("none"))
+    joined = rows.join(merged.select("k1", "k2", "matches", "items", "hit"), ["k1", "k2"], "left")
+    return joined.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], F.struct("none.n_words", *[F.coalesce(c, F.col("none")[c]).alias(c) for c in ("matches", "items", "hit")]).alias(found_col))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 8, min_items: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     found = find_matches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), benchmark, n, located=False)
-    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(ALNUM_WORD)).cast("long")
     items = F.col("_found.items")
     return found.select(
-        "doc_id", words.alias("n_words"), F.size("_found.hit").cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        "doc_id", F.col("_found.n_words").alias("n_words"), F.size("_found.hit").cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", items).cast("binary"), 256).alias("items_sha256"), (F.size(items) >= min_items).alias("contaminated"),
     )
 
