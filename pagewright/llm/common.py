@@ -12,6 +12,7 @@ driver's process ends.
 from __future__ import annotations
 
 import atexit
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,6 +28,9 @@ _OWN_FOLDER: list[str] = []
 #: Paths of written tables: of the process, then of every open scratch.
 _SCOPES: list[list[str]] = [[]]
 
+#: Rows of a narrow table that one file holds.
+FILE_ROWS = 1 << 20
+
 #: A run of what the contracts call a word between ASCII white space.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 #: A run of ASCII letters, digits and anything beyond ASCII (A-Z not yet lower-cased).
@@ -117,6 +121,15 @@ def shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
 
 
+def few_files(df: DataFrame, rows: int) -> DataFrame:
+    """df, a table of a few numbers a row, in as few partitions as ``rows`` rows need.
+
+    Every file that an executor writes to a local folder starts three processes (chmod of a folder, a file
+    and its checksum), in each of which the executor's memory counts once more until it runs.
+    """
+    return df.repartition(max(1, math.ceil(rows / FILE_ROWS)))
+
+
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Writes df as a Parquet table into the shared folder and reads it back."""
     spark = df.sparkSession

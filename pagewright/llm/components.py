@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, remove
+from .common import few_files, materialize, remove
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -28,16 +28,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node with an edge; component is its smallest node."""
+    """(node, component) for every node with an edge; component is its smallest node.
+
+    edges is read several times: a written table of src and dst. Repeated edges and those of a node to itself may be in it.
+    """
     spark = edges.sparkSession
-    now, path = materialize(edges.select("src", "dst").filter("src <> dst").distinct(), "edges")
-    seen = None
+    now, path, seen = edges.select("src", "dst").filter("src <> dst"), None, None
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(20,0)"))).first()
         if tuple(state) == seen or not state[0]:
             break
         seen = tuple(state)
-        after, there = materialize(_star(_star(now, True), False), "edges")
-        remove(spark, path)
+        after, there = materialize(few_files(_star(_star(now, True), False), state[0]), "edges")
+        if path:
+            remove(spark, path)
         now, path = after, there
     return now.select(F.col("src").alias("node"), F.col("dst").alias("component")).union(now.select(F.col("dst").alias("node"), F.col("dst").alias("component"))).distinct()

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, fresh_name, materialize, remove, utf8
+from .common import byte_slices, few_files, fresh_name, materialize, remove, utf8
 from .components import connected_components
 
 BITS, SHINGLE, SEED = 64, 4, 42
@@ -168,10 +168,11 @@ def ball_links(fps: DataFrame, distance: int = 4, rounds: int = 8) -> DataFrame:
     found, paths = None, []
     for turn in range(rounds):
         dealt = _emit(spread, radius, rounds, turn, groups).repartition(groups, "g").sortWithinPartitions("g")
-        links, path = materialize(dealt.mapInArrow(run, "src long, dst long"), f"links{turn}")
+        # some links a fingerprint at most, as a rule; a file for each group would hold next to nothing
+        links, path = materialize(few_files(dealt.mapInArrow(run, "src long, dst long"), 8 * n), f"links{turn}")
         paths.append(path)
         found = links if found is None else found.union(links)
-    out, _ = materialize(found.distinct(), "links")
+    out, _ = materialize(few_files(found.distinct(), found.count()), "links")
     for path in paths:
         remove(spark, path)
     return out
@@ -180,11 +181,12 @@ def ball_links(fps: DataFrame, distance: int = 4, rounds: int = 8) -> DataFrame:
 def near_duplicates(docs: DataFrame, distance: int = 4, rounds: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id for every row of docs."""
     marked, _ = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    classes, _ = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    rows = marked.count()
+    classes, _ = materialize(few_files(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), rows), "classes")
     comp = connected_components(ball_links(classes, distance, rounds)).withColumnRenamed("node", "fp")
     joined = classes.join(comp, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_class, _ = materialize(joined.join(least, "component").select("fp", "component_id"), "class_components")
+    of_class, _ = materialize(few_files(joined.join(least, "component").select("fp", "component_id"), rows), "class_components")
     return marked.join(of_class, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

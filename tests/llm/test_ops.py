@@ -95,6 +95,31 @@ def test_ball_links_reach_every_close_pair(spark):
     assert len(set(got.values())) == 20
 
 
+def test_links_lie_in_few_files(spark, monkeypatch):
+    rng, written = random.Random(4), {}
+    values = [v ^ flip for v in (rng.getrandbits(63) for _ in range(150)) for flip in (0, 3)]
+    monkeypatch.setattr(simhash, "GROUP_VARIANTS", 30_000)  # 11 groups a round
+    plain = simhash.materialize
+
+    def counted(df, name):
+        out, path = plain(df, name)
+        written[name] = len(out.inputFiles())
+        return out, path
+
+    monkeypatch.setattr(simhash, "materialize", counted)
+    links = simhash.ball_links(spark.createDataFrame([(v,) for v in values], "fp long"), rounds=2)
+    got = {r.node: r.component for r in simhash.connected_components(links).collect()}
+    assert got == {v: min(v, v ^ 3) for v in values}
+    assert written == {"links0": 1, "links1": 1, "links": 1}
+
+
+def test_components_of_repeated_edges_and_loops(spark):
+    edges = [(5, 2), (2, 5), (5, 2), (7, 7), (9, 5), (4, 3), (3, 3), (1, 9)]
+    got = simhash.connected_components(spark.createDataFrame(edges, "src long, dst long"))
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (2, 1), (3, 3), (4, 3), (5, 1), (9, 1)]
+    assert simhash.connected_components(spark.createDataFrame([(7, 7)], "src long, dst long")).count() == 0
+
+
 def test_licenses(docs, rows, empty):
     def brute(text):
         words = WORD.findall(lower(text))
